@@ -68,38 +68,33 @@ ONCE_DAILY = r"(?iU)(?=o)\bonce\s+daily\b"
 KO_ONCE_DAILY = r"(?U)(?=1)(?<!\S)1\s*일\s*1\s*회(?![\p{L}\p{N}_]|[.,٫٬]\p{Nd})"
 
 
-def _sci_parts(token: Column) -> tuple[Column, Column, Column]:
-    plain = F.translate(tx.ascii_digits(token), "٫", ".")
-    return (
-        F.regexp_extract(plain, _SCI_VALUE, 1),
-        F.regexp_extract(plain, _SCI_VALUE, 2),
-        F.regexp_extract(plain, _SCI_VALUE, 3).try_cast("int"),
-    )
-
-
 def scientific_key(token: Column) -> Column:
-    """Canonical ``<sign><coefficient>e<power>``; NULL when out of range or malformed."""
-    sign, mantissa, exponent = _sci_parts(token)
-    fraction = F.length(F.regexp_extract(mantissa, r"\.(\d+)\z", 1))
+    """Canonical ``<sign><coefficient>e<power>``; NULL when out of range or malformed.
+
+    ``token`` holds ASCII digits already, see :func:`plain_tokens`.
+    """
+    plain = F.translate(token, "٫", ".")
+    sign = F.regexp_extract(plain, _SCI_VALUE, 1)
+    mantissa = F.regexp_extract(plain, _SCI_VALUE, 2)
+    exponent = F.regexp_extract(plain, _SCI_VALUE, 3).try_cast("int")
+    fraction = F.length(F.regexp_extract(plain, r"\.(\d+)[eE]", 1))
     digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), "^0+", "")
     trimmed = F.regexp_replace(digits, r"0+\z", "")
     power = exponent - fraction + F.length(digits) - F.length(trimmed)
     body = F.when(F.length(digits) == 0, F.lit("0e0")).otherwise(
         F.concat(trimmed, F.lit("e"), power.cast("string"))
     )
-    usable = exponent.isNotNull() & (F.length(mantissa) > 0) & (F.abs(exponent) <= EXPONENT_LIMIT)
+    usable = exponent.isNotNull() & (F.abs(exponent) <= EXPONENT_LIMIT)
     return F.when(usable, F.concat(sign, body))
 
 
 def _decimal_key(token: Column) -> Column:
-    plain = tx.ascii_digits(token)
-    led = F.regexp_replace(plain, r"^(?<s>[+\-±]?)[.٫](?=\d)", "${s}0.")
-    short = led.rlike(r"^[+\-±]?\d+[,٫]\d{1,2}\z")
-    return F.when(short, F.translate(led, ",٫", "..")).otherwise(led)
+    led = F.regexp_replace(token, r"^(?<s>[+\-±]?)[.٫](?=\d)", "${s}0.")
+    return F.regexp_replace(led, r"^(?<i>[+\-±]?\d+)[,٫](?<f>\d{1,2})\z", "${i}.${f}")
 
 
 def number_key(token: Column) -> Column:
-    """Comparison key of a number token; ASCII integers skip every rewrite."""
+    """Comparison key of a number token with ASCII digits; integers skip every rewrite."""
     return (
         F.when(token.rlike(r"^[0-9]+\z"), token)
         .when(token.rlike("[eE]"), F.coalesce(scientific_key(token), _decimal_key(token)))
@@ -107,6 +102,11 @@ def number_key(token: Column) -> Column:
     )
 
 
+def plain_tokens(tokens: Column) -> Column:
+    """Digits of every token to ASCII, in one pass over the list."""
+    return F.transform(tokens, tx.ascii_digits)
+
+
 def unit_key(symbol: Column) -> Column:
     """Micro sign and litre aliases folded to one spelling."""
     folded = F.translate(symbol, "µ", "μ")
@@ -116,7 +116,7 @@ def unit_key(symbol: Column) -> Column:
 
 
 def pair_key(token: Column) -> Column:
-    """``<number key> <unit key>`` of an adjacent number and unit."""
+    """``<number key> <unit key>`` of an adjacent number and unit (ASCII digits)."""
     number = F.regexp_replace(token, rf"(?U)(?:\s*|-){UNIT_SYMBOLS}\z", "")
     unit = F.regexp_extract(token, rf"({UNIT_SYMBOLS})\z", 1)
     return F.concat(number_key(number), F.lit(" "), unit_key(unit))

@@ -9,11 +9,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def keyed(tokens: Column, key) -> Column:
-    """Attach a comparison key and the text position to every token."""
+def keyed(tokens: Column, key, plain: Column | None = None) -> Column:
+    """Attach a comparison key and the text position to every token.
+
+    ``plain`` optionally holds a rewritten form of each token for the key.
+    """
+    if plain is None:
+        return F.transform(
+            tokens,
+            lambda raw, i: F.struct(key(raw).alias("key"), i.alias("pos"), raw.alias("raw")),
+        )
+    numbered = F.zip_with(tokens, plain, lambda raw, p: F.struct(raw.alias("raw"), p.alias("plain")))
     return F.transform(
-        tokens,
-        lambda raw, i: F.struct(key(raw).alias("key"), i.alias("pos"), raw.alias("raw")),
+        numbered,
+        lambda t, i: F.struct(key(t["plain"]).alias("key"), i.alias("pos"), t["raw"].alias("raw")),
     )
 
 

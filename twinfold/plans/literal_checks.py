@@ -54,18 +54,17 @@ def number_inventory(spark, folder):
     "scientific_key",
     _SIDES
     + f"k AS (SELECT side, unnest({q.sci_tokens('nt')}) AS tok FROM s) "
-    + f"SELECT side, tok AS token, {q.sci_key('tok')} AS key, count(*) AS n FROM k GROUP BY ALL",
+    + f"SELECT side, {q.ascii_digits('tok')} AS token, {q.sci_key('tok')} AS key, count(*) AS n FROM k GROUP BY ALL",
 )
 def scientific_key(spark, folder):
     prepared = inventory.prepare(pairs(spark, folder))
-    sides = F.explode(
-        F.concat(
-            F.transform("src_sci_tokens", lambda t: F.struct(F.lit("source").alias("side"), t.alias("token"))),
-            F.transform("draft_sci_tokens", lambda t: F.struct(F.lit("draft").alias("side"), t.alias("token"))),
-        )
+    sides = F.concat(
+        F.transform("src_sci_tokens", lambda t: F.struct(F.lit("source").alias("side"), t.alias("token"))),
+        F.transform("draft_sci_tokens", lambda t: F.struct(F.lit("draft").alias("side"), t.alias("token"))),
     )
     return (
-        prepared.select(sides.alias("s"))
+        prepared.select(F.explode_outer(sides).alias("s"))
+        .where("s is not null")
         .select("s.side", "s.token", lit.scientific_key(F.col("s.token")).alias("key"))
         .groupBy("side", "token", "key")
         .agg(F.count("*").alias("n"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("literal_checks",)
+FAMILIES = ("literal_checks", "scoring", "spending")
 
 
 def _modules():

@@ -13,6 +13,8 @@ TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+
 _SOURCE_TAIL = (
     "' The proximal BRCA1 segment was imaged. The 2.5 mg dose was not recorded. "
     "Give 1.5e-3 mL once daily.' || CASE WHEN doc_id % 5 = 0 THEN ' The femoral vein was patent.' ELSE '' END"
@@ -45,16 +47,102 @@ PAIRS = f"""SELECT doc_id AS pair_id,
   text || {_DRAFT_TAIL} AS draft
 FROM {{documents}}"""
 
-RELATIONS: dict[str, str] = {"pairs": PAIRS}
+EVAL_CASES = f"""SELECT 'case-' || doc_id AS case_id, lang, source,
+  CASE WHEN doc_id % 19 = 0 THEN '' ELSE 'author' END AS author, 'CC0' AS license, doc_id
+FROM (SELECT pair_id AS doc_id, lang, source FROM ({PAIRS}) AS p) AS q"""
+EVAL_RUNS = f"""SELECT 'run-' || pair_id AS run_id, 'case-' || pair_id AS case_id,
+  CASE WHEN pair_id % 23 = 0 THEN 'xx' ELSE lang END AS lang, draft,
+  1000 + pair_id % 500 AS latency_ms, 100 + pair_id % 50 AS prompt_tokens,
+  CASE WHEN pair_id % 29 = 0 THEN -1 ELSE 40 + pair_id % 20 END AS completion_tokens, pair_id AS doc_id
+FROM ({PAIRS}) AS p"""
+EVAL_GOLD = """SELECT 'run-' || doc_id AS run_id, 'case-' || doc_id AS case_id,
+  CASE doc_id % 6 WHEN 1 THEN 'number' WHEN 2 THEN 'unit' WHEN 3 THEN 'other' WHEN 4 THEN 'direction'
+    WHEN 5 THEN 'negation' END AS seed_category,
+  CASE doc_id % 6 WHEN 1 THEN '3.5' WHEN 2 THEN '2.5 mL' WHEN 3 THEN 'BRCA2'
+    WHEN 4 THEN CASE doc_id % 3 WHEN 0 THEN '원위' WHEN 1 THEN 'distal' ELSE 'بعيد' END
+    WHEN 5 THEN CASE doc_id % 3 WHEN 0 THEN '되었습니다' WHEN 1 THEN 'fue' ELSE 'تم' END END AS seed_span,
+  CASE WHEN doc_id % 6 = 0 THEN 'number,negation' WHEN doc_id % 31 = 0 THEN 'number,style' ELSE 'number' END AS clean
+FROM {documents}"""
+_RULE_FINDINGS = """SELECT doc_id, 'number' AS category, '3.5' AS draft_span, 'rule' AS provenance FROM {documents} WHERE doc_id % 6 = 1
+  UNION ALL SELECT doc_id, 'unit', '2.5 mL', 'rule' FROM {documents} WHERE doc_id % 6 = 2
+  UNION ALL SELECT doc_id, 'direction', CASE WHEN doc_id % 3 = 0 THEN '원위' END, 'rule' FROM {documents} WHERE doc_id % 6 = 4
+  UNION ALL SELECT doc_id, 'terminology', CAST(NULL AS STRING), 'rule' FROM {documents} WHERE doc_id % 4 = 0
+  UNION ALL SELECT doc_id, 'number', '99', 'rule' FROM {documents} WHERE doc_id % 9 = 0"""
+EVAL_FINDINGS = f"""SELECT 'run-' || doc_id AS run_id, 'baseline' AS arm, category, draft_span, provenance FROM ({_RULE_FINDINGS}) AS a
+UNION ALL SELECT 'run-' || doc_id, 'enhanced', category, draft_span, provenance FROM ({_RULE_FINDINGS}) AS b
+UNION ALL SELECT 'run-' || doc_id, 'enhanced', 'omission', 'BRCA1', CASE WHEN doc_id % 35 = 0 THEN 'guess' ELSE 'model' END
+  FROM {{documents}} WHERE doc_id % 5 = 0
+UNION ALL SELECT 'run-' || doc_id, 'enhanced', 'negation', CASE doc_id % 3 WHEN 0 THEN '기록되었습니다' WHEN 1 THEN 'fue registrada' ELSE 'تم' END, 'model'
+  FROM {{documents}} WHERE doc_id % 6 = 5"""
+_STATE = """CASE event_type WHEN 'signup' THEN 'reserved' WHEN 'view' THEN 'started' WHEN 'click' THEN 'pending-billing'
+  WHEN 'purchase' THEN 'reconciled' ELSE CASE event_id % 3 WHEN 0 THEN 'failed-cost-held' WHEN 1 THEN 'unknown-cost' ELSE 'cancelled' END END"""
+_CALL_BASE = f"""SELECT event_id, user_id, ts, 'b' || user_id % 10 AS budget_id,
+  CASE WHEN event_id % 101 = 0 THEN 'run-x' ELSE lpad(CAST(event_id - event_id % 2 AS STRING), 32, '0') END AS run_id,
+  {_STATE} AS state,
+  CASE user_id % 3 WHEN 0 THEN 'settled' WHEN 1 THEN 'reserved-budget-v1' ELSE 'reserved-budget-v2' END AS admission_policy,
+  CASE WHEN user_id % 3 = 0 THEN CASE event_id % 3 WHEN 0 THEN 'trial' WHEN 1 THEN 'cash' ELSE 'promo' END ELSE 'operator-budget' END AS bucket,
+  CAST(CASE WHEN event_id % 2 = 0 THEN 1 ELSE 1.1 END AS DECIMAL(6,4)) AS tax_multiplier,
+  CAST(CASE WHEN user_id % 3 = 0 THEN CAST(value AS DECIMAL(12,2)) * CAST(0.0003 AS DECIMAL(6,4))
+    WHEN event_id % 2 = 0 THEN CAST(0.06334656 AS DECIMAL(20,8)) ELSE CAST(0.06968122 AS DECIMAL(20,8)) END AS DECIMAL(20,8)) AS reserved_usd,
+  CAST(event_id % 2000 AS INT) AS prompt_tokens, CAST(event_id % 1900 AS INT) AS completion_tokens
+FROM {{events}}"""
+CALLS = f"""SELECT event_id, user_id, budget_id, run_id, run_id || '-' || event_id % 2 AS call_id, state, admission_policy, bucket,
+  tax_multiplier, reserved_usd, prompt_tokens, completion_tokens, 'model-a' AS model,
+  CAST(0.06 AS DECIMAL(4,2)) AS input_per_million, CAST(0.24 AS DECIMAL(4,2)) AS output_per_million, 'price-1' AS price_version,
+  CASE WHEN event_id % 97 = 0 THEN 'bad evidence' ELSE 'ev-' || event_id END AS billing_evidence,
+  CAST(CAST(ts + INTERVAL 9 HOUR AS DATE) AS STRING) AS day,
+  CASE WHEN state IN ('pending-billing', 'reconciled', 'failed-cost-held') AND completion_tokens <= 1800 THEN
+    CAST(CAST((CAST(prompt_tokens AS DECIMAL(10,0)) * CAST(0.06 AS DECIMAL(4,2)) + CAST(completion_tokens AS DECIMAL(10,0)) * CAST(0.24 AS DECIMAL(4,2)))
+      * CAST(0.000001 AS DECIMAL(8,6)) AS DECIMAL(20,8)) * tax_multiplier AS DECIMAL(24,12)) END AS estimated_cost_usd,
+  CASE WHEN state = 'reconciled' THEN CAST(reserved_usd * CAST(0.5 AS DECIMAL(2,1)) AS DECIMAL(20,8)) END AS billed_cost_usd,
+  ts AS reserved_at,
+  CASE WHEN state NOT IN ('reserved', 'cancelled') THEN ts + INTERVAL 1 MINUTE END AS started_at,
+  CASE WHEN state IN ('pending-billing', 'failed-cost-held', 'reconciled') THEN ts + INTERVAL 2 MINUTE END AS observed_at,
+  CASE WHEN state IN ('pending-billing', 'failed-cost-held', 'unknown-cost', 'reconciled') THEN ts + INTERVAL 3 MINUTE END AS finished_at,
+  CASE WHEN state IN ('pending-billing', 'reconciled') THEN 'accepted' WHEN state IN ('failed-cost-held', 'unknown-cost') THEN 'failed' END AS outcome,
+  CASE WHEN state = 'reconciled' THEN 'rc-' || event_id END AS billing_receipt,
+  CASE WHEN state = 'reconciled' THEN ts + INTERVAL 60 MINUTE END AS billing_confirmed_at,
+  event_id % 4 <> 0 AS owner_gone,
+  admission_policy = 'reserved-budget-v1' AND state IN ('failed-cost-held', 'unknown-cost') AND event_id % 5 = 0 AS loss_accepted
+FROM ({_CALL_BASE}) AS base"""
+_RECEIPT_COPY = "SELECT 0 AS copy UNION ALL SELECT 1 AS copy"
+RECEIPTS = f"""SELECT event_id * 2 + copy AS receipt_id, CASE WHEN event_id % 37 = 0 THEN 'missing' ELSE call_id END AS call_id,
+  CASE WHEN event_id % 13 = 0 THEN 'other' ELSE bucket END AS bucket,
+  CASE WHEN event_id % 17 = 0 THEN 'model-b' ELSE 'model-a' END AS model,
+  CAST(CASE WHEN event_id % 11 = 0 THEN reserved_usd * 2 WHEN event_id % 14 = 0 AND copy = 1 THEN CAST(0 AS DECIMAL(20,8))
+    ELSE reserved_usd * CAST(0.5 AS DECIMAL(2,1)) END AS DECIMAL(20,8)) AS billed_cost_usd,
+  'rc-' || event_id AS evidence, reserved_at + INTERVAL 60 MINUTE AS confirmed_at
+FROM ({CALLS}) AS c CROSS JOIN ({_RECEIPT_COPY}) AS d WHERE copy = 0 OR event_id % 7 = 0"""
+
+RELATIONS: dict[str, str] = {
+    "pairs": PAIRS,
+    "eval_cases": EVAL_CASES,
+    "eval_runs": EVAL_RUNS,
+    "eval_gold": EVAL_GOLD,
+    "eval_findings": EVAL_FINDINGS,
+    "calls": CALLS,
+    "receipts": RECEIPTS,
+}
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small text input one partition per core.
+
+    Texts are costly to scan. A large input already has more partitions than
+    cores and is left alone, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def derive(spark: SparkSession, folder: str, sql: str) -> DataFrame:
     """Run a derivation; only the driver tables it names are opened."""
     used = {name: read(spark, folder, name) for name in TABLES if "{" + name + "}" in sql}
+    used = {name: spread(df) if name in TEXT_TABLES else df for name, df in used.items()}
     return spark.sql(sql, **used)
 
 
