@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("literal_checks", "scoring", "spending")
+FAMILIES = ("literal_checks", "scoring", "spending", "structure")
 
 
 def _modules():

@@ -114,7 +114,101 @@ RECEIPTS = f"""SELECT event_id * 2 + copy AS receipt_id, CASE WHEN event_id % 37
   'rc-' || event_id AS evidence, reserved_at + INTERVAL 60 MINUTE AS confirmed_at
 FROM ({CALLS}) AS c CROSS JOIN ({_RECEIPT_COPY}) AS d WHERE copy = 0 OR event_id % 7 = 0"""
 
-RELATIONS: dict[str, str] = {
+def both(spark_lines: str, ansi_lines: str, text: str) -> tuple[str, str]:
+    """Spark and ANSI form of a text over a splitting relation."""
+    return text.replace("<LINES>", spark_lines), text.replace("<LINES>", ansi_lines)
+
+
+_LINES_SPARK = "(SELECT doc_id, pos AS line, col AS text FROM (SELECT doc_id, posexplode(split(text, chr(10))) FROM {documents}))"
+_LINES_ANSI = (
+    "(SELECT doc_id, CAST(unnest(range(len(l))) AS INT) AS line, unnest(l) AS text "
+    "FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM {documents}) AS s)"
+)
+_WORDS_SPARK = f"(SELECT doc_id, line, pos AS w, col AS word FROM (SELECT doc_id, line, posexplode(split(text, ' ')) FROM {_LINES_SPARK}))"
+_WORDS_ANSI = (
+    "(SELECT doc_id, line, CAST(unnest(range(len(l))) AS INT) AS w, unnest(l) AS word "
+    f"FROM (SELECT doc_id, line, string_split(text, ' ') AS l FROM {_LINES_ANSI} AS a) AS s)"
+)
+LINES = both(_LINES_SPARK, _LINES_ANSI, "SELECT * FROM <LINES> AS l")
+FRAGMENTS = both(
+    _WORDS_SPARK,
+    _WORDS_ANSI,
+    """SELECT doc_id AS page_id, line * 100000 + w AS frag_id, word AS text, line,
+  CAST(45 * (w % 12) + CASE WHEN doc_id % 2 = 1 AND w % 12 >= 6 THEN 40 ELSE 0 END AS DOUBLE) + (w % 3) * 0.5 AS x,
+  CAST(400 * line + 20 * ((w - w % 12) / 12) + w % 4 AS DOUBLE) AS y,
+  CAST(6 * length(word) AS DOUBLE) AS width, CAST(12 AS DOUBLE) AS height
+FROM <LINES> AS f""",
+)
+REGIONS = both(
+    _LINES_SPARK,
+    _LINES_ANSI,
+    """SELECT doc_id AS page_id, line AS seq, 'p' || doc_id || '-r' || line AS region_id,
+  CASE (doc_id + line) % 11 WHEN 0 THEN 'table' WHEN 1 THEN 'figure' WHEN 2 THEN 'caption' WHEN 3 THEN 'footnote'
+    WHEN 4 THEN 'equation' ELSE 'paragraph' END AS type,
+  CASE (doc_id + 2 * line) % 7 WHEN 0 THEN 'proposed' WHEN 1 THEN 'excluded' ELSE 'verified' END AS status,
+  CASE WHEN (doc_id + line) % 2 = 0 THEN 'repeated' ELSE ' ' END AS exclusion_reason, text,
+  CAST(50 AS DOUBLE) AS x, CAST(400 * line AS DOUBLE) AS y, CAST(CASE WHEN (doc_id + line) % 29 = 0 THEN 900 ELSE 500 END AS DOUBLE) AS width,
+  CAST(380 AS DOUBLE) AS height, CAST(620 AS DOUBLE) AS page_width, CAST(400000 AS DOUBLE) AS page_height
+FROM <LINES> AS r""",
+)
+EDGES = both(
+    _LINES_SPARK,
+    _LINES_ANSI,
+    """SELECT doc_id AS page_id, 'e' || line AS edge_id, 'reading-next' AS type, 'p' || doc_id || '-r' || (line - 1) AS from_id,
+  CASE WHEN doc_id % 8 = 1 AND line = 3 THEN 'p' || doc_id || '-r0' ELSE 'p' || doc_id || '-r' || line END AS to_id,
+  CASE WHEN (doc_id + line) % 37 = 0 THEN 'proposed' ELSE 'verified' END AS status FROM <LINES> AS a WHERE line >= 1
+UNION ALL SELECT doc_id, 'b' || line, 'reading-next', 'p' || doc_id || '-r0', 'p' || doc_id || '-r2', 'verified' FROM <LINES> AS b WHERE doc_id % 8 = 2 AND line = 2
+UNION ALL SELECT doc_id, 'c' || line, 'caption-of', 'p' || doc_id || '-r' || line, 'p' || doc_id || '-r' || (line - 1 - doc_id % 2),
+  CASE WHEN line % 5 = 0 THEN 'proposed' ELSE 'verified' END FROM <LINES> AS c WHERE (doc_id + line) % 11 = 2 AND line % 7 <> 3
+UNION ALL SELECT doc_id, 'n' || line, 'footnote-of', 'p' || doc_id || '-r' || line, 'p' || doc_id || '-r' || (line - 1),
+  'verified' FROM <LINES> AS d WHERE (doc_id + line) % 11 = 3""",
+)
+OWNED = both(
+    _WORDS_SPARK,
+    _WORDS_ANSI,
+    """SELECT doc_id AS page_id, 'p' || doc_id || '-r' || line AS region_id, line * 100000 + w AS frag_id FROM <LINES> AS a WHERE NOT ((doc_id + line) % 19 = 0 AND w = 1)
+UNION ALL SELECT doc_id, 'p' || doc_id || '-r' || line, (line - 1) * 100000 FROM <LINES> AS b WHERE (doc_id + line) % 17 = 0 AND w = 0 AND line > 0
+UNION ALL SELECT doc_id, 'p' || doc_id || '-r' || line, line * 100000 + 99999 FROM <LINES> AS c WHERE (doc_id + line) % 23 = 0 AND w = 0""",
+)
+DOC_PAGES = "SELECT doc_id AS page_id, doc_id % 3 <> 0 AS visual_inventory_confirmed, CAST(620 AS DOUBLE) AS width, CAST(n_chars * 4 AS DOUBLE) AS height FROM {documents}"
+
+
+def _cells(edit: bool) -> str:
+    """Three cells per line item; the edited copy differs in known ways."""
+    row = "l_linenumber - 1"
+    value_text = "CAST(CAST(l_quantity AS INT) AS STRING)"
+    span = "CASE WHEN l_suppkey % 50 = 0 THEN 2 ELSE 1 END"
+    if edit:
+        value_text = f"CASE WHEN l_partkey % 9 = 0 THEN {value_text} || '0' ELSE {value_text} END"
+        span = "CASE WHEN l_suppkey % 50 = 0 OR l_partkey % 23 = 0 THEN 2 ELSE 1 END"
+    role = "CASE WHEN l_partkey % 27 = 0 THEN 'header' ELSE 'value' END" if edit else "'value'"
+    drop = "WHERE NOT (l_partkey % 31 = 0)" if edit else ""
+    return f"""SELECT l_orderkey AS table_id, 'c' || l_linenumber || '-0' AS cell_id, {row} AS row, 0 AS col, 1 AS row_span, 1 AS col_span,
+  'header' AS role, l_returnflag AS text, CAST(NULL AS STRING) AS blank_reason,
+  CASE WHEN l_suppkey % 11 = 0 THEN 'c' || l_linenumber || '-0' WHEN l_partkey % 13 = 0 THEN 'c' || (l_linenumber + 1 - 2 * (l_linenumber % 2)) || '-0'
+    WHEN l_partkey % 30 = 0 THEN 'c' || l_linenumber || '-2' WHEN l_partkey % 5 = 0 THEN 'c' || (l_linenumber % 7 + 1) || '-0' ELSE '' END AS headers,
+  'f' || l_linenumber || '-0' AS frags FROM {{lineitem}}
+UNION ALL SELECT l_orderkey, 'c' || l_linenumber || '-1', {row}, 1, {span}, 1, {role}, {value_text}, NULL, 'c' || l_linenumber || '-0', 'f' || l_linenumber || '-1'
+FROM {{lineitem}} {drop}
+UNION ALL SELECT l_orderkey, 'c' || l_linenumber || '-2', {row}, 2, 1, CASE WHEN l_partkey % 17 = 0 THEN 2 ELSE 1 END,
+  CASE WHEN l_partkey % 10 = 0 THEN 'blank' WHEN l_partkey % 41 = 0 THEN 'label' ELSE 'value' END,
+  CASE WHEN l_partkey % 10 = 0 AND l_suppkey % 3 <> 0 THEN '' WHEN l_partkey % 43 = 0 THEN ' ' ELSE CAST(l_partkey AS STRING) END,
+  CASE WHEN l_partkey % 20 = 0 THEN 'inherited' END, 'c' || l_linenumber || '-0', 'f' || l_linenumber || '-2' FROM {{lineitem}}"""
+
+
+CELLS, CELLS_EDITED = _cells(False), _cells(True)
+GRIDS = "SELECT l_orderkey AS table_id, CAST(max(l_linenumber) AS INT) AS row_count, 3 AS column_count FROM {lineitem} GROUP BY l_orderkey"
+
+RELATIONS: dict[str, str | tuple[str, str]] = {
+    "lines": LINES,
+    "fragments": FRAGMENTS,
+    "regions": REGIONS,
+    "edges": EDGES,
+    "owned": OWNED,
+    "doc_pages": DOC_PAGES,
+    "cells": CELLS,
+    "cells_edited": CELLS_EDITED,
+    "grids": GRIDS,
     "pairs": PAIRS,
     "eval_cases": EVAL_CASES,
     "eval_runs": EVAL_RUNS,
@@ -147,12 +241,14 @@ def derive(spark: SparkSession, folder: str, sql: str) -> DataFrame:
 
 
 def relation(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return derive(spark, folder, RELATIONS[name])
+    sql = RELATIONS[name]
+    return derive(spark, folder, sql if isinstance(sql, str) else sql[0])
 
 
 def ansi(name: str) -> str:
     """The same derivation over plain table names, for comparison SQL."""
     sql = RELATIONS[name]
+    sql = sql if isinstance(sql, str) else sql[1]
     for table in TABLES:
         sql = sql.replace("{" + table + "}", table)
     return sql
