@@ -170,6 +170,20 @@ OWNED = both(
 UNION ALL SELECT doc_id, 'p' || doc_id || '-r' || line, (line - 1) * 100000 FROM <LINES> AS b WHERE (doc_id + line) % 17 = 0 AND w = 0 AND line > 0
 UNION ALL SELECT doc_id, 'p' || doc_id || '-r' || line, line * 100000 + 99999 FROM <LINES> AS c WHERE (doc_id + line) % 23 = 0 AND w = 0""",
 )
+STROKES = both(
+    _LINES_SPARK,
+    _LINES_ANSI,
+    """SELECT doc_id AS page_id, 'p' || doc_id || '-r' || line AS region_id, line * 2 AS stroke_id, 'h' AS axis, CAST(0 AS DOUBLE) AS x,
+  CAST(400 * line + CASE WHEN doc_id % 5 = 0 THEN 6 ELSE 390 END AS DOUBLE) AS y, CAST(620 AS DOUBLE) AS width, CAST(0 AS DOUBLE) AS height FROM <LINES> AS a
+UNION ALL SELECT doc_id, 'p' || doc_id || '-r' || line, line * 2 + 1, 'v', CAST(302 AS DOUBLE), CAST(400 * line AS DOUBLE), CAST(0 AS DOUBLE),
+  CAST(CASE WHEN line % 3 = 0 THEN 400 ELSE 380 END AS DOUBLE) FROM <LINES> AS b WHERE doc_id % 4 = 0""",
+)
+IMAGES = both(
+    _LINES_SPARK,
+    _LINES_ANSI,
+    """SELECT doc_id AS page_id, CAST(100 AS DOUBLE) AS x, CAST(400 * line + 380 AS DOUBLE) AS y, CAST(200 AS DOUBLE) AS width, CAST(CASE WHEN line % 4 = 2 THEN 20 ELSE 10 END AS DOUBLE) AS height
+FROM <LINES> AS i WHERE line % 3 = 1""",
+)
 DOC_PAGES = "SELECT doc_id AS page_id, doc_id % 3 <> 0 AS visual_inventory_confirmed, CAST(620 AS DOUBLE) AS width, CAST(n_chars * 4 AS DOUBLE) AS height FROM {documents}"
 
 
@@ -206,6 +220,8 @@ RELATIONS: dict[str, str | tuple[str, str]] = {
     "edges": EDGES,
     "owned": OWNED,
     "doc_pages": DOC_PAGES,
+    "strokes": STROKES,
+    "images": IMAGES,
     "cells": CELLS,
     "cells_edited": CELLS_EDITED,
     "grids": GRIDS,
