@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from twinfold.functions import text as tx
 from twinfold.operators import geometry as ge
 from twinfold.operators import graph
-from twinfold.operators.wide_window import previous_value, running_before
+from twinfold.operators.wide_window import next_mark, previous_value, running_before
 
 # ---- fixed values ----------------------------------------------------------
 SAME_ROW, TOUCH, SPACE_GAP = 0.45, 0.12, 0.12
@@ -322,13 +322,10 @@ def reading_order(fragments: DataFrame, gutters: DataFrame) -> DataFrame:
         "k", F.struct(F.col("row_y").alias("y"), F.col("row_x").alias("x"), F.col("row_frag").cast("bigint").alias("f"))
     )
     rest = marked.where("not spanning")
-    # The first separator below a fragment: one ordered pass over both.
+    # The first separator below a fragment, by an as-of lookup on y.
     last = F.lit(float("inf"))
-    below = (
-        rest.join(seps.select("page_id", "sep_y", "k"), "page_id")
-        .where("sep_y > y")
-        .groupBy("page_id", "frag_id")
-        .agg(F.min("k").alias("k_below"))
+    rest_below = next_mark(
+        rest, seps.select("page_id", F.col("sep_y").alias("y"), "k"), ["page_id"], "y", "k", ROW_TILE, "k_below"
     )
     size = 64.0
     rest_t = rest.withColumn("_t", F.floor(F.col("y") / size))
@@ -340,7 +337,7 @@ def reading_order(fragments: DataFrame, gutters: DataFrame) -> DataFrame:
         .agg(F.min("k").alias("k_peer"))
     )
     end = F.struct(last.alias("y"), last.alias("x"), F.lit(0).cast("bigint").alias("f"))
-    placed = rest.join(below, ["page_id", "frag_id"], "left").join(base, ["page_id", "frag_id"], "left")
+    placed = rest_below.join(base, ["page_id", "frag_id"], "left")
     k_below, k_peer = F.coalesce("k_below", end), F.coalesce("k_peer", end)
     peer = F.col("k_peer").isNotNull() & (k_peer <= k_below)
     side = F.when(F.col("cut").isNull(), "full").when(F.col("x") < F.col("cut"), "left").otherwise("right")
