@@ -1,6 +1,7 @@
 """Reading order of positioned fragments.
 
-Rows, gutters and lines are joins and windows over ``fragments(page_id, frag_id,
+The two long operators write their input to the checkpoint folder once, because
+every later branch reads it again. Rows, gutters and lines are joins and windows over ``fragments(page_id, frag_id,
 text, x, y, width, height)``. A crowded page is cut into bands of y, and only one
 text line is ever gathered in one place.
 """
@@ -15,6 +16,7 @@ from twinfold.functions import text as tx
 from twinfold.operators import geometry as ge
 from twinfold.operators import graph
 from twinfold.operators.wide_window import next_mark, previous_value, running_before
+from twinfold.session import cut_lineage
 
 # ---- fixed values ----------------------------------------------------------
 SAME_ROW, TOUCH, SPACE_GAP = 0.45, 0.12, 0.12
@@ -269,6 +271,7 @@ def _best(measured: DataFrame, prose_score: bool, require_prose: bool, name: str
 
 def find_gutter(fragments: DataFrame, rows: DataFrame | None = None, prefer_prose: bool = True) -> DataFrame:
     """``(page_id, cut)`` of two-column pages; fragments carry ``page_width``."""
+    fragments = cut_lineage(fragments)
     rows = rows if rows is not None else group_rows(fragments)
     runs = _runs(rows).join(fragments.select("page_id", "page_width").distinct(), "page_id")
     right_ranks = _ranked(fragments, F.col("x") + F.col("width"), "edge")
@@ -312,7 +315,7 @@ def reading_order(fragments: DataFrame, gutters: DataFrame) -> DataFrame:
     Separator lines cross the gutter and split the page into bands; a band is
     read left column first. ``gutters(page_id, cut)`` lists two-column pages.
     """
-    items = visible(fragments).join(gutters, "page_id", "left")
+    items = cut_lineage(visible(fragments).join(gutters, "page_id", "left"))
     span = _spanning(items.where("cut is not null"))
     marked = items.join(span, ["page_id", "frag_id"], "left").withColumn("spanning", F.coalesce("spanning", F.lit(False)))
     sep_rows = group_rows(marked.where("spanning"))
@@ -351,7 +354,8 @@ def reading_order(fragments: DataFrame, gutters: DataFrame) -> DataFrame:
         *fragments.columns, "k", F.lit(2).alias("part"), F.lit("full").alias("column")
     )
     keys = ["page_id", "k", "part", "column"]
-    lines = line_text(group_rows(body.unionByName(sep_items), keys), keys)
+    placed_items = cut_lineage(body.unionByName(sep_items))
+    lines = line_text(group_rows(placed_items, keys), keys)
     on_separator = F.col("part") == 2
     flat = lines.withColumns(
         {
