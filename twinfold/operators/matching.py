@@ -103,7 +103,7 @@ def compare_structure(source: DataFrame, target: DataFrame) -> DataFrame:
     absent = F.col("s_ord").isNull() | F.col("t_ord").isNull() | (F.col("s_type") != F.col("t_type"))
     codes = {
         "region-order-changed": F.col("s_ord") != F.col("t_ord"),
-        "missing-cell-content": value & tx.is_blank(t),
+        "missing-cell-content": value & t.isNotNull() & tx.is_blank(t),
         "cell-numeric-changed": value & literal(NUMERIC),
         "cell-notation-changed": value & literal(NOTATION),
         "cell-unit-changed": value & literal(UNITS),

@@ -279,6 +279,51 @@ def terminology_check(spark, folder):
     return _one(spark, folder, "terminology")
 
 
-@query("coverage_rollup")
+_ROLLED = ("number", "unit", "direction", "negation", "terminology", "identifier", "omission", "other")
+
+
+def _rollup_sql() -> str:
+    parts = [
+        f"SELECT pair_id, '{c}' AS category, state FROM ({ORACLE[c + '_check']}) AS c_{c}" for c in _ROLLED[:6]
+    ]
+    parts += [f"SELECT pair_id, '{c}', 'not assessed' FROM ({tables.ansi('pairs')}) AS n_{c}" for c in _ROLLED[6:]]
+    return (
+        f"SELECT lang, category, state, count(*) AS pairs FROM ({' UNION ALL '.join(parts)}) AS u "
+        f"JOIN (SELECT pair_id, lang FROM ({tables.ansi('pairs')}) AS l) AS k USING (pair_id) GROUP BY ALL"
+    )
+
+
+@query("coverage_rollup", _rollup_sql())
 def coverage_rollup(spark, folder):
-    return checks.coverage_rollup(checks.evaluate(pairs(spark, folder)))
+    return checks.coverage_rollup(checks.evaluate(pairs(spark, folder), list(_ROLLED)))
+
+
+_DIST = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+_MISSING = "list_filter(list_filter(st, lambda x, i: list_position(st, x) = i), lambda x: NOT list_contains(dt, x))"
+_KEYS = "list_filter(list_concat(sk, dk), lambda x, i: list_position(list_concat(sk, dk), x) = i)"
+_N = "len(list_filter({0}, lambda y: y = k))"
+_CHANGED = (
+    f"list_filter({_KEYS}, lambda k: {_N.format('sk')} <> {_N.format('dk')})"
+)
+_LISTED = (
+    f"list_transform({_CHANGED}, lambda k: k || ' (source ' || {_N.format('sk')} || ', draft ' || {_N.format('dk')} || ')')"
+)
+_TAIL = "Automated checks are limited; independent medical and linguistic review is still required."
+
+
+@query(
+    "summary_text",
+    _GATE
+    + f""", cd AS MATERIALIZED (SELECT pair_id, {q.code_tokens('source')} AS scs, {q.code_tokens('draft')} AS dcs FROM p)
+    SELECT pair_id, lang, array_to_string(list_filter([
+      CASE WHEN len({_MISSING}) > 0 THEN 'Source number format not found exactly in draft: ' || array_to_string({_MISSING}, ', ') || '. Review numeric fidelity.' END,
+      CASE WHEN ok AND {q.differs('sk', 'dk')} THEN 'Numeric value/count mismatch: ' || array_to_string({_LISTED}, '; ') || '. Check omissions, additions and substitutions.' END,
+      CASE WHEN NOT ok THEN 'Scientific numeric comparison is not assessed; review exponent notation and values manually.' END,
+      CASE WHEN lang = 'ko' AND regexp_matches({q.words('source')}, '(?i)\\bproximal\\b') AND contains(draft, '원위') AND NOT contains(draft, '근위') THEN 'Possible proximal-to-distal directional mismatch; human review required.' END,
+      CASE WHEN {_TERM_SEEN} AND NOT regexp_matches(draft, '(?:대퇴|넙다리)\\s*정맥') THEN 'Source femoral vein is not identifiable in the Korean draft; review anatomical terminology.' END,
+      CASE WHEN lang IN ('ko', 'ar') AND regexp_matches({q.words('draft')}, '(?i)\\b(?:proximal|distal)\\b') THEN 'Untranslated English directional term remains; human review required.' END,
+      CASE WHEN {q.differs('scs', 'dcs')} THEN '{checks.MESSAGES["identifier"]}' END, '{_TAIL}'], lambda x: x IS NOT NULL), ' ') AS summary
+    FROM g JOIN cd USING (pair_id)""",
+)
+def summary_text(spark, folder):
+    return checks.summary_text(pairs(spark, folder))

@@ -17,12 +17,12 @@ TEXT_TABLES = ("documents", "pages", "conversations")
 
 _SOURCE_TAIL = (
     "' The proximal BRCA1 segment was imaged. The 2.5 mg dose was not recorded. "
-    "Give 1.5e-3 mL once daily.' || CASE WHEN doc_id % 5 = 0 THEN ' The femoral vein was patent.' ELSE '' END"
+    "Give 1.5e-3 mL' || CASE WHEN doc_id % 4 = 1 THEN ' once daily.' ELSE '.' END || CASE WHEN doc_id % 5 = 0 THEN ' The femoral vein was patent.' ELSE '' END"
 )
 
 
 def _choice(change: int, changed: str, plain: str) -> str:
-    return f"CASE WHEN doc_id % 6 = {change} THEN '{changed}' ELSE '{plain}' END"
+    return f"CASE WHEN CAST(floor(doc_id / 3) AS BIGINT) % 6 = {change} THEN '{changed}' ELSE '{plain}' END"
 
 
 _NUMBER = _choice(1, "3.5", "2.5")
@@ -31,7 +31,7 @@ _CODE = _choice(3, "BRCA2", "BRCA1")
 _POWER = "CASE WHEN doc_id % 7 = 3 THEN '0.0015' ELSE '{0}' END"
 _DRAFT_TAIL = f"""CASE doc_id % 3
   WHEN 0 THEN ' ' || {_choice(4, "원위", "근위")} || ' ' || {_CODE} || ' 구간을 촬영했습니다. ' || {_NUMBER}
-    || ' ' || {_UNIT} || ' 용량은 기록' || {_choice(5, "되었습니다", "되지 않았습니다")} || '. 1일 1회 '
+    || ' ' || {_UNIT} || ' 용량은 기록' || {_choice(5, "되었습니다", "되지 않았습니다")} || '. ' || CASE WHEN doc_id % 4 = 1 THEN '1일 1회 ' ELSE '' END
     || {_POWER.format("15e-4")} || ' mL 투여합니다.'
     || CASE WHEN doc_id % 10 = 0 THEN ' 대퇴 정맥은 개존되어 있습니다.' WHEN doc_id % 5 = 0 THEN ' 혈관은 개존되어 있습니다.' ELSE '' END
   WHEN 1 THEN ' El segmento ' || {_CODE} || ' ' || {_choice(4, "distal", "proximal")} || ' fue visualizado. La dosis de '
@@ -56,16 +56,16 @@ EVAL_RUNS = f"""SELECT 'run-' || pair_id AS run_id, 'case-' || pair_id AS case_i
   CASE WHEN pair_id % 29 = 0 THEN -1 ELSE 40 + pair_id % 20 END AS completion_tokens, pair_id AS doc_id
 FROM ({PAIRS}) AS p"""
 EVAL_GOLD = """SELECT 'run-' || doc_id AS run_id, 'case-' || doc_id AS case_id,
-  CASE doc_id % 6 WHEN 1 THEN 'number' WHEN 2 THEN 'unit' WHEN 3 THEN 'other' WHEN 4 THEN 'direction'
+  CASE (CAST(floor(doc_id / 3) AS BIGINT) % 6) WHEN 1 THEN 'number' WHEN 2 THEN 'unit' WHEN 3 THEN 'other' WHEN 4 THEN 'direction'
     WHEN 5 THEN 'negation' END AS seed_category,
-  CASE doc_id % 6 WHEN 1 THEN '3.5' WHEN 2 THEN '2.5 mL' WHEN 3 THEN 'BRCA2'
+  CASE (CAST(floor(doc_id / 3) AS BIGINT) % 6) WHEN 1 THEN '3.5' WHEN 2 THEN '2.5 mL' WHEN 3 THEN 'BRCA2'
     WHEN 4 THEN CASE doc_id % 3 WHEN 0 THEN '원위' WHEN 1 THEN 'distal' ELSE 'بعيد' END
     WHEN 5 THEN CASE doc_id % 3 WHEN 0 THEN '되었습니다' WHEN 1 THEN 'fue' ELSE 'تم' END END AS seed_span,
-  CASE WHEN doc_id % 6 = 0 THEN 'number,negation' WHEN doc_id % 31 = 0 THEN 'number,style' ELSE 'number' END AS clean
+  CASE WHEN CAST(floor(doc_id / 3) AS BIGINT) % 6 = 0 THEN 'number,negation' WHEN doc_id % 31 = 0 THEN 'number,style' ELSE 'number' END AS clean
 FROM {documents}"""
-_RULE_FINDINGS = """SELECT doc_id, 'number' AS category, '3.5' AS draft_span, 'rule' AS provenance FROM {documents} WHERE doc_id % 6 = 1
-  UNION ALL SELECT doc_id, 'unit', '2.5 mL', 'rule' FROM {documents} WHERE doc_id % 6 = 2
-  UNION ALL SELECT doc_id, 'direction', CASE WHEN doc_id % 3 = 0 THEN '원위' END, 'rule' FROM {documents} WHERE doc_id % 6 = 4
+_RULE_FINDINGS = """SELECT doc_id, 'number' AS category, '3.5' AS draft_span, 'rule' AS provenance FROM {documents} WHERE CAST(floor(doc_id / 3) AS BIGINT) % 6 = 1
+  UNION ALL SELECT doc_id, 'unit', '2.5 mL', 'rule' FROM {documents} WHERE CAST(floor(doc_id / 3) AS BIGINT) % 6 = 2
+  UNION ALL SELECT doc_id, 'direction', CASE WHEN doc_id % 3 = 0 THEN '원위' END, 'rule' FROM {documents} WHERE CAST(floor(doc_id / 3) AS BIGINT) % 6 = 4
   UNION ALL SELECT doc_id, 'terminology', CAST(NULL AS STRING), 'rule' FROM {documents} WHERE doc_id % 4 = 0
   UNION ALL SELECT doc_id, 'number', '99', 'rule' FROM {documents} WHERE doc_id % 9 = 0"""
 EVAL_FINDINGS = f"""SELECT 'run-' || doc_id AS run_id, 'baseline' AS arm, category, draft_span, provenance FROM ({_RULE_FINDINGS}) AS a
@@ -73,7 +73,7 @@ UNION ALL SELECT 'run-' || doc_id, 'enhanced', category, draft_span, provenance
 UNION ALL SELECT 'run-' || doc_id, 'enhanced', 'omission', 'BRCA1', CASE WHEN doc_id % 35 = 0 THEN 'guess' ELSE 'model' END
   FROM {{documents}} WHERE doc_id % 5 = 0
 UNION ALL SELECT 'run-' || doc_id, 'enhanced', 'negation', CASE doc_id % 3 WHEN 0 THEN '기록되었습니다' WHEN 1 THEN 'fue registrada' ELSE 'تم' END, 'model'
-  FROM {{documents}} WHERE doc_id % 6 = 5"""
+  FROM {{documents}} WHERE CAST(floor(doc_id / 3) AS BIGINT) % 6 = 5"""
 _STATE = """CASE event_type WHEN 'signup' THEN 'reserved' WHEN 'view' THEN 'started' WHEN 'click' THEN 'pending-billing'
   WHEN 'purchase' THEN 'reconciled' ELSE CASE event_id % 3 WHEN 0 THEN 'failed-cost-held' WHEN 1 THEN 'unknown-cost' ELSE 'cancelled' END END"""
 _CALL_BASE = f"""SELECT event_id, user_id, ts, 'b' || user_id % 10 AS budget_id,
