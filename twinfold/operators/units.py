@@ -6,6 +6,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinfold.functions import text as tx
 
@@ -84,7 +85,7 @@ def _cut(text: str, lengths: list[int]) -> list[str]:
     return [*parts, text[cursor:]] if lengths else []
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _cut_all(texts: pd.Series, lengths: pd.Series) -> pd.Series:
     return pd.Series([_cut(t, list(n)) for t, n in zip(texts, lengths)])
 
