@@ -63,7 +63,7 @@ def test_first_excess_is_the_first_by_position(spark):
 
 
 def test_identifier_boundaries(spark):
-    text = "XBRCA1 BRCA1x _BRCA1 BRCA1. BRCA1.2 a/BRCA1 BRCA1는 TP53/KRAS12 IL-6"
+    text = "xBRCA1 BRCA1x _BRCA1 BRCA1. BRCA1.2 a/BRCA1 BRCA1는 TP53/KRAS12 IL-6"
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(tx.matches(F.col("t"), lit.IDENTIFIER)).first()[0] == ["BRCA1", "BRCA1", "IL-6"]
 
