@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("literal_checks", "scoring", "spending", "structure", "boxes", "rows", "pages", "streams", "sides")
+FAMILIES = ("literal_checks", "scoring", "spending", "structure", "boxes", "rows", "pages", "streams", "sides", "evidence")
 
 
 def _modules():
