@@ -83,7 +83,24 @@ def lifecycle_events(spark, folder):
     )
 
 
-@query("call_lifecycle")
+_LIFE = (
+    _R
+    + """, e AS (SELECT request_id AS event_id, client_id AS call_id, at_us, request_id % 3 <> 0 AS valid, CASE event_type WHEN 'signup' THEN 'reserve' WHEN 'view' THEN 'start' WHEN 'click' THEN 'observe'
+      WHEN 'purchase' THEN 'accept' ELSE CASE WHEN request_id % 9 = 0 THEN 'receipt' ELSE 'fail' END END AS ev FROM r),
+    n AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY at_us, event_id) AS rn FROM e),
+    w(call_id, rn, event_id, state, obs, legal) AS (SELECT DISTINCT call_id, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), '', false, true FROM n
+      UNION ALL SELECT n.call_id, n.rn, n.event_id,
+        CASE WHEN w.state = '' AND ev = 'reserve' THEN 'reserved' WHEN w.state = 'reserved' AND ev = 'start' THEN 'started' WHEN w.state = 'started' AND ev = 'accept' THEN CASE WHEN w.obs THEN 'pending-billing' ELSE 'unknown-cost' END
+          WHEN w.state = 'started' AND ev = 'fail' THEN CASE WHEN w.obs THEN 'failed-cost-held' ELSE 'unknown-cost' END
+          WHEN ev = 'receipt' AND w.state IN ('pending-billing', 'failed-cost-held', 'unknown-cost') THEN 'reconciled' ELSE w.state END,
+        w.obs OR (w.state = 'started' AND ev = 'observe' AND n.valid),
+        (w.state = '' AND ev = 'reserve') OR (w.state = 'reserved' AND ev = 'start') OR (w.state = 'started' AND ev IN ('observe', 'accept', 'fail')) OR (ev = 'receipt' AND w.state IN ('pending-billing', 'failed-cost-held', 'unknown-cost'))
+      FROM w JOIN n ON n.call_id = w.call_id AND n.rn = w.rn + 1)
+    SELECT call_id, event_id, state, legal FROM w WHERE rn > 0"""
+)
+
+
+@query("call_lifecycle", _LIFE)
 def call_lifecycle(spark, folder):
     return st.call_lifecycle(lifecycle_events(spark, folder), ["call_id", "event_id"])
 
@@ -101,7 +118,19 @@ def midnight_rollover(spark, folder):
     return st.midnight_rollover(starts, 12_000_000, ["request_id"])
 
 
-@query("admission_stream")
+_ADMIT = (
+    _R
+    + """, n AS (SELECT *, (1 + request_id % 3) * 633466 AS ask, CAST(floor((at_us + 32400000000) / 86400000000.0) AS BIGINT) AS day, row_number() OVER (PARTITION BY budget_id ORDER BY at_us, request_id) AS rn FROM r),
+    w(budget_id, rn, request_id, day, dh, h, ok) AS (SELECT DISTINCT budget_id, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), false FROM n
+      UNION ALL SELECT budget_id, rn, request_id, day, CASE WHEN ok THEN base + ask ELSE base END, CASE WHEN ok THEN h + ask ELSE h END, ok
+      FROM (SELECT n.budget_id, n.rn, n.request_id, n.day, n.ask, w.h, CASE WHEN n.day = w.day THEN w.dh ELSE 0 END AS base,
+          n.ask <= 1500000 AND CASE WHEN n.day = w.day THEN w.dh ELSE 0 END + n.ask <= 50000000 AND w.h + n.ask <= 1000000000 AS ok
+        FROM w JOIN n ON n.budget_id = w.budget_id AND n.rn = w.rn + 1) AS s)
+    SELECT request_id, ok AS admitted FROM w WHERE rn > 0"""
+)
+
+
+@query("admission_stream", _ADMIT)
 def admission_stream(spark, folder):
     r = requests(spark, folder).withColumn("calls", (1 + F.col("request_id") % 3).cast("int"))
     step = st.admission_step(633_466, 1_500_000, 50_000_000, 1_000_000_000)
