@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from twinfold.operators.qc import checks
+from twinfold.plans import literal_checks
 from twinfold.plans.tables import read, relation
 from twinfold.streaming import stateful as st
 
@@ -28,7 +29,10 @@ def requests(spark, folder):
         F.col("event_id").alias("request_id"),
         F.col("user_id").alias("client_id"),
         F.concat(F.lit("b"), (F.col("user_id") % 10).cast("string")).alias("budget_id"),
-        F.expr("unix_micros(cast(ts as timestamp)) - unix_micros(cast(timestamp_ntz'1970-01-01' as timestamp))").alias("at_us"),
+        F.expr(
+            "datediff(cast(ts as date), date'1970-01-01') * 86400000000L + (hour(ts) * 3600L + minute(ts) * 60L) * 1000000L"
+            " + cast(extract(second from ts) * 1000000 as bigint)"
+        ).alias("at_us"),
         "event_type",
         "value",
     )
@@ -178,8 +182,11 @@ def journal(spark, folder):
     return st.journal(events, ["request_id"]).drop("dropped")
 
 
-@query("qc_findings")
+@query(
+    "qc_findings",
+    f"SELECT lang, category, 'review' AS severity, pairs AS findings FROM ({literal_checks.ORACLE['coverage_rollup']}) AS c WHERE state = 'warning'",
+)
 def qc_findings(spark, folder):
     """The stateless plan of the check stream, on a table."""
-    done = checks.findings(checks.evaluate(relation(spark, folder, "pairs")))
+    done = checks.findings(checks.evaluate(relation(spark, folder, "pairs"), list(literal_checks._ROLLED)))
     return done.groupBy("lang", "category", "severity").agg(F.count("*").alias("findings"))
