@@ -298,7 +298,6 @@ def coverage_rollup(spark, folder):
     return checks.coverage_rollup(checks.evaluate(pairs(spark, folder), list(_ROLLED)))
 
 
-_DIST = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
 _MISSING = "list_filter(list_filter(st, lambda x, i: list_position(st, x) = i), lambda x: NOT list_contains(dt, x))"
 _KEYS = "list_filter(list_concat(sk, dk), lambda x, i: list_position(list_concat(sk, dk), x) = i)"
 _N = "len(list_filter({0}, lambda y: y = k))"
