@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from twinfold.llm.common import table
+from twinfold.llm.packing import pack_documents
 from twinfold.llm.secrets import secret_report
 from twinfold.llm.sharding import shard_documents
+from twinfold.llm.vectors import near_vectors
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +21,19 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_secret_scans": op3_secret_scans,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op8_best_fit_packing": op8_best_fit_packing,
 }
 
 ORACLE: dict[str, str] = {}
