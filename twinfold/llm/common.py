@@ -60,12 +60,18 @@ class Rolling:
     def spans(self, sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix64((sums[end] - sums[begin]) * self._back[begin] + (end - begin).astype(np.uint64))
 
-    def windows(self, sums: np.ndarray, width: int) -> np.ndarray:
-        """Hash of every window of ``width`` values, by its start."""
+    def raw_windows(self, sums: np.ndarray, width: int) -> np.ndarray:
+        """Hash of every window of ``width`` values by its start; only its high bits are good, until mixed."""
         n = len(sums) - width
         if n <= 0:
             return np.zeros(0, np.uint64)
-        return mix64((sums[width:] - sums[:n]) * self._back[:n] + np.uint64(width))
+        out = sums[width:] - sums[:n]
+        out *= self._back[:n]
+        return out
+
+    def windows(self, sums: np.ndarray, width: int) -> np.ndarray:
+        """Hash of every window of ``width`` values, by its start."""
+        return mix64(self.raw_windows(sums, width) + np.uint64(width))
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -10,6 +10,7 @@ from twinfold.llm.common import table
 from twinfold.llm.packing import pack_documents
 from twinfold.llm.secrets import secret_report
 from twinfold.llm.sharding import shard_documents
+from twinfold.llm.suffix_buckets import remove_substrings
 from twinfold.llm.vectors import near_vectors
 
 
@@ -29,11 +30,16 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_substrings(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_secret_scans": op3_secret_scans,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 ORACLE: dict[str, str] = {}
