@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from twinfold.llm.bag_minhash import near_documents
 from twinfold.llm.common import table
 from twinfold.llm.packing import pack_documents
 from twinfold.llm.secrets import secret_report
@@ -14,6 +15,10 @@ from twinfold.llm.suffix_buckets import remove_substrings
 from twinfold.llm.vectors import near_vectors
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_documents(table(spark, sf_dir, "documents")).drop("key")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -35,6 +40,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_sharding": op2_sharding,
     "op3_secret_scans": op3_secret_scans,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
