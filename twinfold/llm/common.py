@@ -98,10 +98,18 @@ def pieces(offsets: np.ndarray, limit: int):
         start = stop
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin and end byte of every word ``[^\\x20\\x09-\\x0D]+``, and the n + 1 word offsets of the texts."""
+def letters_only() -> list[int]:
+    """Breaks of plain words: every ASCII byte but letters and digits."""
+    return [b for b in range(128) if not chr(b).isalnum()]
+
+
+def word_bounds(data: np.ndarray, offsets: np.ndarray, breaks=_SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end byte of every word, and the n + 1 word offsets of the texts.
+
+    Words are split at the break bytes, by default as ``[^\\x20\\x09-\\x0D]+``.
+    """
     lookup = np.zeros(256, bool)
-    lookup[list(_SPACES)] = True
+    lookup[list(breaks)] = True
     space = lookup[data]
     before = np.ones(len(data), bool)
     before[1:] = space[:-1]

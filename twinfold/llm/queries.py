@@ -12,6 +12,7 @@ from twinfold.llm.packing import pack_documents
 from twinfold.llm.secrets import secret_report
 from twinfold.llm.sharding import shard_documents
 from twinfold.llm.suffix_buckets import remove_substrings
+from twinfold.llm.toxicity import category_labels, score, train
 from twinfold.llm.vectors import near_vectors
 
 
@@ -27,6 +28,12 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels, categories = category_labels(table(spark, sf_dir, "labels"))
+    return score(docs, train(docs, labels, categories), categories)
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -43,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_sharding": op2_sharding,
     "op3_secret_scans": op3_secret_scans,
+    "op4_toxicity": op4_toxicity,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
