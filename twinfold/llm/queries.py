@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from twinfold.llm.bag_minhash import near_documents
 from twinfold.llm.common import table
+from twinfold.llm.decontaminate import find_leaks
 from twinfold.llm.packing import pack_documents
 from twinfold.llm.secrets import secret_report
 from twinfold.llm.sharding import shard_documents
@@ -38,6 +39,10 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scans": op3_secret_scans,
     "op4_toxicity": op4_toxicity,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
