@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from twinfold.llm.bag_minhash import near_documents
 from twinfold.llm.common import table
+from twinfold.llm.context_mixing import score_texts
 from twinfold.llm.decontaminate import find_leaks
 from twinfold.llm.packing import pack_documents
 from twinfold.llm.secrets import secret_report
@@ -47,6 +48,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_substrings(table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
