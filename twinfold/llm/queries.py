@@ -13,6 +13,7 @@ from twinfold.llm.decontaminate import find_leaks
 from twinfold.llm.packing import pack_documents
 from twinfold.llm.secrets import secret_report
 from twinfold.llm.sharding import shard_documents
+from twinfold.llm.suffix_automata import remove_passages
 from twinfold.llm.suffix_buckets import remove_substrings
 from twinfold.llm.toxicity import category_labels, score, train
 from twinfold.llm.vectors import near_vectors
@@ -40,6 +41,10 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scans": op3_secret_scans,
     "op4_toxicity": op4_toxicity,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_lm_scoring": op9_lm_scoring,
