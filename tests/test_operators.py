@@ -204,6 +204,32 @@ def test_lifecycle_reports_illegal_events(spark):
     ]
 
 
+def test_last_observation_counts(spark):
+    events = [("reserve", True), ("start", True), ("observe", True), ("observe", False), ("accept", True)]
+    df = spark.createDataFrame([("c", i, i, e, v) for i, (e, v) in enumerate(events)], "call_id string, event_id int, at_us bigint, event string, valid boolean")
+    assert rows(stateful.call_lifecycle(df, ["event_id"]))[-1][1] == "unknown-cost"
+
+
+def test_refused_attempts_leave_room(spark):
+    df = spark.createDataFrame([("b", i, i, n) for i, n in enumerate((999, 2, 1, 1))], "budget_id string, request_id int, at_us bigint, attempts int")
+    assert [r[1:] for r in rows(stateful.lifetime_attempts(df, 1000, ["request_id"]))] == [(0, True), (999, False), (999, True), (1000, False)]
+
+
+def test_admission_blockers_and_prior_hold(spark):
+    df = spark.createDataFrame([("b", i, 0, 1, i == 1) for i in range(4)], "budget_id string, request_id int, at_us bigint, calls int, blocked boolean")
+    step = stateful.admission_step(6_334_656, 15_000_000, 20_000_000, 20_000_000, 2_000_000)
+    assert [a for _, a in rows(stateful.admission(df, step, ["request_id"]))] == [True, False, True, False]
+
+
+def test_starts_over_midnight(spark):
+    noon, hour = 3 * stateful.HOUR_US, stateful.HOUR_US  # noon of the accounting day
+    starts = [(0, noon, noon + hour), (1, noon, noon + 13 * hour), (2, noon + 14 * hour, noon + 30 * hour), (3, noon + hour, noon + 15 * hour), (4, noon + hour, noon + hour)]
+    df = spark.createDataFrame([(i, "b", r, s, 60) for i, r, s in starts], "request_id int, budget_id string, reserved_us bigint, started_us bigint, cost int")
+    got = {r.request_id: (r.moved, r.fits) for r in stateful.midnight_rollover(df, 130, ["request_id"]).collect()}
+    # the next day holds call 1 (moved) and call 2 (reserved, not started), so call 3 is refused; same-day starts go ahead
+    assert got == {0: (False, True), 1: (True, True), 2: (False, True), 3: (True, False), 4: (False, True)}
+
+
 def test_streams_match_logs(spark, tmp_path):
     minute = 60_000_000
     source = tmp_path / "in"

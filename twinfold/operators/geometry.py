@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 TILE = 256.0
-OVERLAP_CANDIDATES = 65_536
-CONTACT_PAIRS = 200_000
-CROP_LIMIT = 400
 
 
 def _tile(value: Column, size: float) -> Column:
@@ -104,13 +101,12 @@ def overlap_candidates(fragments: DataFrame, size: float = TILE) -> DataFrame:
     )
 
 
-def overlapping_fragments(fragments: DataFrame) -> DataFrame:
+def overlapping_fragments(fragments: DataFrame, limit: int | None = None) -> DataFrame:
     """Status per page: ``limit``, ``overlap`` with a pair count, or ``clear``.
 
-    Pages above the candidate limit are not enumerated, so no page can emit more
-    pairs than the limit.
+    ``limit``, if given, leaves pages with more candidates unpaired; by default every page is paired.
     """
-    counted = overlap_candidates(fragments).withColumn("held", F.col("candidates") > OVERLAP_CANDIDATES)
+    counted = overlap_candidates(fragments).withColumn("held", F.lit(False) if limit is None else F.col("candidates") > limit)
     open_pages = fragments.join(counted.where("not held").select("page_id"), "page_id", "left_semi")
     boxes = open_pages.select("page_id", "frag_id", "x", "y", "width", "height")
     pairs = touching(boxes, boxes, relation=crosses).where("l_frag_id < r_frag_id")
@@ -247,11 +243,11 @@ def raster_overlap(regions: DataFrame, images: DataFrame, pages: DataFrame) -> D
     return joined.select("page_id", "region_id", status.alias("status"))
 
 
-def glyph_rule_contacts(glyphs: DataFrame, rules: DataFrame, regions: DataFrame) -> DataFrame:
+def glyph_rule_contacts(glyphs: DataFrame, rules: DataFrame, regions: DataFrame, limit: int | None = None) -> DataFrame:
     """Crossing and touching pairs of painted glyphs and rules per region.
 
-    The pair budget is checked from the two counts first; a region above it is
-    ``unknown`` and is never paired. Spaces take no part.
+    ``limit``, if given, is a pair budget checked from the two counts: a region above it is ``unknown`` and not paired.
+    Spaces take no part.
     """
     g = glyphs.where("text <> ' '")
     n_g = g.groupBy("page_id", "region_id").agg(F.count("*").alias("glyphs"))
@@ -266,7 +262,7 @@ def glyph_rule_contacts(glyphs: DataFrame, rules: DataFrame, regions: DataFrame)
         n_g.join(n_r, ["page_id", "region_id"])
         .join(inside, ["page_id", "region_id"], "left")
         .withColumn("pairs", F.col("glyphs") * F.col("rules"))
-        .withColumn("usable", (F.col("pairs") <= CONTACT_PAIRS) & F.coalesce("inside", F.lit(False)))
+        .withColumn("usable", (F.lit(True) if limit is None else F.col("pairs") <= limit) & F.coalesce("inside", F.lit(False)))
     )
     ready = base.where("usable").select("page_id", "region_id")
     cols = ["page_id", "region_id", "x", "y", "width", "height"]

@@ -157,18 +157,6 @@ def run_estimate(calls: DataFrame) -> DataFrame:
     )
 
 
-def lifetime_attempts(requests: DataFrame, limit: int) -> DataFrame:
-    """Running attempts per budget against a lifetime limit.
-
-    Attempts are the requests themselves; a request fits while the sum up to and
-    including it stays within the limit.
-    """
-    tile = hour_tile(F.col("ts"))
-    order = [F.col("ts"), F.col("request_id")]
-    run = running_before(requests, ["budget_id"], tile, order, {"before": F.col("attempts")})
-    return run.withColumn("fits", F.col("before") + F.col("attempts") <= limit)
-
-
 def availability(calls: DataFrame, limits: Limits, today: Column, wanted: int, tax: Column) -> DataFrame:
     """One row per budget: whether ``wanted`` more calls could start on ``today``."""
     ask = money(max_call_cost(tax) * wanted)

@@ -28,7 +28,7 @@ def strip_markers(text: Column, tag: str = DEFAULT_TAG) -> Column:
 
 def marker_spans(text: Column, tag: str = DEFAULT_TAG) -> Column:
     """Texts between markers, one per marker."""
-    return F.slice(F.split(text, marker_pattern(tag)), 2, 1_000_000_000)
+    return F.filter(F.split(text, marker_pattern(tag)), lambda _, i: i > 0)
 
 
 def _malformed(text: Column, tag: str) -> Column:

@@ -14,7 +14,7 @@ from twinfold.operators import graph
 from twinfold.operators.predicates import UNREADABLE, box_inside
 
 # ---- fixed values ----------------------------------------------------------
-MAX_DIMENSION, MAX_POSITIONS, MAX_HEADER_REFS = 128, 4096, 40_000
+MAX_HEADER_REFS = 40_000
 ROLES = ("header", "value", "blank")
 NOTE_ID = r"^[A-Za-z0-9._-]{1,128}\z"
 NOTE_LIMIT = 128
@@ -25,11 +25,8 @@ def _issue(df: DataFrame, code: str, *keys: str) -> DataFrame:
 
 
 def usable_tables(tables: DataFrame) -> DataFrame:
-    """Tables whose grid is small enough to enumerate."""
-    r, c = F.col("row_count"), F.col("column_count")
-    return tables.where(
-        r.between(1, MAX_DIMENSION) & c.between(1, MAX_DIMENSION) & (r * c <= MAX_POSITIONS)
-    )
+    """Tables that have a grid, of any size."""
+    return tables.where((F.col("row_count") >= 1) & (F.col("column_count") >= 1))
 
 
 def _in_grid() -> Column:

@@ -64,8 +64,8 @@ def coincident_fragments(spark, folder):
     c AS (SELECT a.page_id, count(*) AS n FROM o a JOIN o b ON a.page_id = b.page_id AND b.rn > a.rn AND b.x < a.x + a.width GROUP BY 1),
     p AS (SELECT a.page_id, count(*) AS n FROM f a JOIN f b ON a.page_id = b.page_id AND a.frag_id < b.frag_id AND {_cross('a', 'b')} GROUP BY 1),
     pg AS (SELECT DISTINCT page_id FROM f)
-    SELECT pg.page_id, coalesce(c.n, 0) AS candidates, CASE WHEN coalesce(c.n, 0) > 65536 THEN 'limit' WHEN coalesce(p.n, 0) > 0 THEN 'overlap' ELSE 'clear' END AS status,
-      CASE WHEN coalesce(c.n, 0) > 65536 THEN 0 ELSE coalesce(p.n, 0) END AS pairs FROM pg LEFT JOIN c USING (page_id) LEFT JOIN p USING (page_id)""",
+    SELECT pg.page_id, coalesce(c.n, 0) AS candidates, CASE WHEN coalesce(p.n, 0) > 0 THEN 'overlap' ELSE 'clear' END AS status,
+      coalesce(p.n, 0) AS pairs FROM pg LEFT JOIN c USING (page_id) LEFT JOIN p USING (page_id)""",
 )
 def overlapping_fragments(spark, folder):
     return ge.overlapping_fragments(fragments(spark, folder))
@@ -159,7 +159,7 @@ def raster_overlap(spark, folder):
     f"""WITH {_F}, {_R}, {_S}, g AS (SELECT *, 'p' || page_id || '-r' || line AS region_id FROM f),
     ng AS (SELECT g.page_id, g.region_id, count(*) AS glyphs, bool_and({_inside('r', 'g')}) AS ins FROM g JOIN r USING (page_id, region_id) GROUP BY ALL),
     nr AS (SELECT page_id, region_id, count(*) AS rules FROM s GROUP BY ALL),
-    b AS (SELECT page_id, region_id, glyphs, rules, glyphs * rules AS pairs, glyphs * rules <= 200000 AND ins AS ok FROM ng JOIN nr USING (page_id, region_id)),
+    b AS (SELECT page_id, region_id, glyphs, rules, glyphs * rules AS pairs, ins AS ok FROM ng JOIN nr USING (page_id, region_id)),
     m AS (SELECT b.region_id, count(*) FILTER (WHERE {_cross('g', 's')}) AS c, count(*) FILTER (WHERE NOT ({_cross('g', 's')})) AS t FROM b JOIN g USING (page_id, region_id) JOIN s USING (page_id, region_id) WHERE b.ok AND {_touch('g', 's')} GROUP BY 1)
     SELECT b.page_id, b.region_id, b.glyphs, b.rules, b.pairs, coalesce(m.c, 0) AS crossing, coalesce(m.t, 0) AS touching,
       CASE WHEN NOT b.ok THEN 'unknown' WHEN coalesce(m.c, 0) > 0 THEN 'crossing' WHEN coalesce(m.t, 0) > 0 THEN 'touching' ELSE 'disjoint' END AS status FROM b LEFT JOIN m USING (region_id)""",

@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
 @query(
     "ocr_lines",
     f"""WITH l AS (SELECT * FROM ({ansi('lines')}) AS x), b AS (SELECT doc_id, bool_and(trim(text) <> '' AND NOT (doc_id % 8 = 4 AND line = 1) AND 10 * line + 12 <= 8000
-      AND length(text) <= 3000 AND NOT regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{{9F}}]')) AND count(*) <= 200 AS ok FROM l GROUP BY 1)
+      AND NOT regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{{9F}}]')) AS ok FROM l GROUP BY 1)
     SELECT l.doc_id AS crop_id, line AS ord, CAST(100 + CASE doc_id % 4 WHEN 0 THEN 5 WHEN 1 THEN 10 * line WHEN 2 THEN 8000 - 5 - 40 ELSE 8000 - 10 * line - 12 END AS DOUBLE) AS x,
       CAST(200 + CASE doc_id % 4 WHEN 0 THEN 10 * line WHEN 1 THEN 8000 - 5 - 40 WHEN 2 THEN 8000 - 10 * line - 12 ELSE 5 END AS DOUBLE) AS y FROM l JOIN b USING (doc_id) WHERE b.ok""",
 )

@@ -298,6 +298,12 @@ def coverage_rollup(spark, folder):
     return checks.coverage_rollup(checks.evaluate(pairs(spark, folder), list(_ROLLED)))
 
 
+@query("coverage_rollup_whole")
+def coverage_rollup_whole(spark, folder):
+    """All nine categories; negation-scope has no comparison SQL."""
+    return checks.coverage_rollup(checks.evaluate(pairs(spark, folder), [*_ROLLED, "negation-scope"]))
+
+
 _MISSING = "list_filter(list_filter(st, lambda x, i: list_position(st, x) = i), lambda x: NOT list_contains(dt, x))"
 _KEYS = "list_filter(list_concat(sk, dk), lambda x, i: list_position(list_concat(sk, dk), x) = i)"
 _N = "len(list_filter({0}, lambda y: y = k))"

@@ -250,8 +250,8 @@ def _scoped(spark, folder):
     return s, parsed, bound.join(s.select("pair_id", "lang"), "pair_id"), judged, verdicts
 
 
-_SC = f"""WITH z AS ({SCOPED.replace('{documents}', 'documents')}), v AS (SELECT pair_id, z.lang, d.text, d.doc_id, length(z.source) <= 10000 AND NOT regexp_matches(z.source, '{_CTRL}') AND d.doc_id % 10 <> 4 AS okv,
-    length(z.draft) <= 10000 AND NOT regexp_matches(z.draft, '{_CTRL}') AND d.doc_id % 10 <> 4 AS okd FROM z JOIN documents d ON d.doc_id = z.pair_id)"""
+_SC = f"""WITH z AS ({SCOPED.replace('{documents}', 'documents')}), v AS (SELECT pair_id, z.lang, d.text, d.doc_id, NOT regexp_matches(z.source, '{_CTRL}') AND d.doc_id % 10 <> 4 AS okv,
+    NOT regexp_matches(z.draft, '{_CTRL}') AND d.doc_id % 10 <> 4 AS okd FROM z JOIN documents d ON d.doc_id = z.pair_id)"""
 
 
 @query(
@@ -334,7 +334,7 @@ def _rendered(spark, folder):
     f"""WITH r AS ({ansi('regions')}), l AS (SELECT page_id, seq, '[[DOC:' || region_id || ':' || type || ']]' || chr(10) || text || chr(10) ||
       CASE WHEN type = 'table' THEN '[[CELL:c1;0,0;1,1;value;]]' || chr(10) || 'cell' || chr(10) ELSE '' END || '[[/DOC]]' AS t FROM r),
     d AS (SELECT page_id, string_agg(t, chr(10) ORDER BY seq) AS text FROM l GROUP BY 1)
-    SELECT page_id AS doc_id, length(text) AS size, CASE WHEN length(text) > 10000 THEN 'held' ELSE 'ready' END AS status, CASE WHEN length(text) <= 10000 THEN text END AS text FROM d""",
+    SELECT page_id AS doc_id, length(text) AS size, 'ready' AS status, text FROM d""",
 )
 def render_scopes(spark, folder):
     return _rendered(spark, folder)

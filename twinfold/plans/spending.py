@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from twinfold.operators import ledger as lg
 from twinfold.plans.tables import ansi, relation
+from twinfold.streaming import stateful
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -131,19 +132,22 @@ def run_estimate(spark, folder):
 
 @query(
     "lifetime_attempts",
-    "WITH r AS (SELECT 'b' || user_id % 10 AS budget_id, event_id AS request_id, ts, 1 + event_id % 2 AS attempts FROM events), "
-    "w AS (SELECT *, coalesce(sum(attempts) OVER (PARTITION BY budget_id ORDER BY ts, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM r) "
-    "SELECT request_id, CAST(b AS BIGINT) AS before, b + attempts <= 1000 AS fits FROM w",
+    "WITH RECURSIVE r AS (SELECT 'b' || user_id % 10 AS budget_id, event_id AS request_id, ts, 1 + event_id % 2 AS attempts FROM events), "
+    "n AS (SELECT *, row_number() OVER (PARTITION BY budget_id ORDER BY ts, request_id) AS rn FROM r), "
+    "w(budget_id, rn, request_id, b, used, fits) AS (SELECT DISTINCT budget_id, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), true FROM n "
+    "UNION ALL SELECT n.budget_id, n.rn, n.request_id, w.used, CASE WHEN w.used + attempts <= 999 THEN w.used + attempts ELSE w.used END, w.used + attempts <= 999 "
+    "FROM w JOIN n ON n.budget_id = w.budget_id AND n.rn = w.rn + 1) "
+    "SELECT request_id, b AS before, fits FROM w WHERE rn > 0",
 )
 def lifetime_attempts(spark, folder):
     e = spark.read.parquet(f"{folder}/events.parquet")
     requests = e.select(
         F.concat(F.lit("b"), (F.col("user_id") % 10).cast("string")).alias("budget_id"),
         F.col("event_id").alias("request_id"),
-        "ts",
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"),
         (1 + F.col("event_id") % 2).alias("attempts"),
     )
-    return lg.lifetime_attempts(requests, 1000).select("request_id", F.col("before").cast("bigint").alias("before"), "fits")
+    return stateful.lifetime_attempts(requests, 999, ["request_id"])
 
 
 @query(

@@ -97,7 +97,7 @@ _LIFE = (
         CASE WHEN w.state = '' AND ev = 'reserve' THEN 'reserved' WHEN w.state = 'reserved' AND ev = 'start' THEN 'started' WHEN w.state = 'started' AND ev = 'accept' THEN CASE WHEN w.obs THEN 'pending-billing' ELSE 'unknown-cost' END
           WHEN w.state = 'started' AND ev = 'fail' THEN CASE WHEN w.obs THEN 'failed-cost-held' ELSE 'unknown-cost' END
           WHEN ev = 'receipt' AND w.state IN ('pending-billing', 'failed-cost-held', 'unknown-cost') THEN 'reconciled' ELSE w.state END,
-        w.obs OR (w.state = 'started' AND ev = 'observe' AND n.valid),
+        CASE WHEN w.state = 'started' AND ev = 'observe' THEN n.valid ELSE w.obs END,
         (w.state = '' AND ev = 'reserve') OR (w.state = 'reserved' AND ev = 'start') OR (w.state = 'started' AND ev IN ('observe', 'accept', 'fail')) OR (ev = 'receipt' AND w.state IN ('pending-billing', 'failed-cost-held', 'unknown-cost'))
       FROM w JOIN n ON n.call_id = w.call_id AND n.rn = w.rn + 1)
     SELECT call_id, event_id, state, legal FROM w WHERE rn > 0"""
@@ -109,7 +109,20 @@ def call_lifecycle(spark, folder):
     return st.call_lifecycle(lifecycle_events(spark, folder), ["call_id", "event_id"])
 
 
-@query("midnight_rollover")
+_ROLL = (
+    _R
+    + """, s AS (SELECT *, at_us AS reserved_us, at_us + request_id % 5 * 3600000000 AS started_us FROM r),
+    e AS (SELECT request_id, budget_id, false AS starts, reserved_us AS t, floor((reserved_us + 32400000000) / 86400000000.0) AS day, floor((started_us + 32400000000) / 86400000000.0) <> day AS moved FROM s
+      UNION ALL SELECT request_id, budget_id, true, started_us, floor((started_us + 32400000000) / 86400000000.0) AS day, floor((reserved_us + 32400000000) / 86400000000.0) <> day FROM s),
+    n AS (SELECT *, row_number() OVER (PARTITION BY budget_id, day ORDER BY t, starts, request_id) AS rn FROM e),
+    w(budget_id, day, rn, request_id, starts, moved, held, fits) AS (SELECT DISTINCT budget_id, day, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), false, false, CAST(0 AS BIGINT), true FROM n
+      UNION ALL SELECT budget_id, day, rn, request_id, starts, moved, CASE WHEN NOT starts OR (moved AND ok) THEN held + 6334656 ELSE held END, ok
+      FROM (SELECT n.*, w.held, NOT n.starts OR NOT n.moved OR w.held + 6334656 <= 50000000 AS ok FROM w JOIN n ON n.budget_id = w.budget_id AND n.day = w.day AND n.rn = w.rn + 1) AS q)
+    SELECT request_id, moved, fits FROM w WHERE rn > 0 AND starts"""
+)
+
+
+@query("midnight_rollover", _ROLL)
 def midnight_rollover(spark, folder):
     r = requests(spark, folder)
     starts = r.select(
@@ -117,18 +130,18 @@ def midnight_rollover(spark, folder):
         "budget_id",
         F.col("at_us").alias("reserved_us"),
         (F.col("at_us") + (F.col("request_id") % 5) * st.HOUR_US).alias("started_us"),
-        F.lit(633466).alias("cost"),
+        F.lit(6_334_656).alias("cost"),
     )
-    return st.midnight_rollover(starts, 12_000_000, ["request_id"])
+    return st.midnight_rollover(starts, st.UNIT // 2, ["request_id"])
 
 
 _ADMIT = (
     _R
-    + """, n AS (SELECT *, (1 + request_id % 3) * 633466 AS ask, CAST(floor((at_us + 32400000000) / 86400000000.0) AS BIGINT) AS day, row_number() OVER (PARTITION BY budget_id ORDER BY at_us, request_id) AS rn FROM r),
-    w(budget_id, rn, request_id, day, dh, h, ok) AS (SELECT DISTINCT budget_id, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), false FROM n
+    + """, n AS (SELECT *, (1 + request_id % 3) * 6334656 AS ask, request_id % 17 = 0 AS blocked, CAST(floor((at_us + 32400000000) / 86400000000.0) AS BIGINT) AS day, row_number() OVER (PARTITION BY budget_id ORDER BY at_us, request_id) AS rn FROM r),
+    w(budget_id, rn, request_id, day, dh, h, ok) AS (SELECT DISTINCT budget_id, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(1500000 AS BIGINT), false FROM n
       UNION ALL SELECT budget_id, rn, request_id, day, CASE WHEN ok THEN base + ask ELSE base END, CASE WHEN ok THEN h + ask ELSE h END, ok
       FROM (SELECT n.budget_id, n.rn, n.request_id, n.day, n.ask, w.h, CASE WHEN n.day = w.day THEN w.dh ELSE 0 END AS base,
-          n.ask <= 1500000 AND CASE WHEN n.day = w.day THEN w.dh ELSE 0 END + n.ask <= 50000000 AND w.h + n.ask <= 1000000000 AS ok
+          NOT n.blocked AND n.ask <= 15000000 AND CASE WHEN n.day = w.day THEN w.dh ELSE 0 END + n.ask <= 500000000 AND w.h + n.ask <= 10000000000 AS ok
         FROM w JOIN n ON n.budget_id = w.budget_id AND n.rn = w.rn + 1) AS s)
     SELECT request_id, ok AS admitted FROM w WHERE rn > 0"""
 )
@@ -136,8 +149,11 @@ _ADMIT = (
 
 @query("admission_stream", _ADMIT)
 def admission_stream(spark, folder):
-    r = requests(spark, folder).withColumn("calls", (1 + F.col("request_id") % 3).cast("int"))
-    step = st.admission_step(633_466, 1_500_000, 50_000_000, 1_000_000_000)
+    """Prices and ceilings of the ledger; every seventeenth request meets an open blocking call."""
+    r = requests(spark, folder).withColumns(
+        {"calls": (1 + F.col("request_id") % 3).cast("int"), "blocked": F.col("request_id") % 17 == 0}
+    )
+    step = st.admission_step(6_334_656, 15_000_000, 5 * st.UNIT, 100 * st.UNIT, 1_500_000)
     return st.admission(r, step, ["request_id"])
 
 
@@ -166,7 +182,7 @@ def ttl_dedup(spark, folder):
     p AS (SELECT *, max(CASE WHEN valid THEN at_us END) OVER q AS hi, first_value(at_us) OVER (PARTITION BY client_id ORDER BY request_id) AS st FROM e WINDOW q AS (PARTITION BY client_id ORDER BY request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     f AS (SELECT *, valid AND at_us >= greatest(coalesce(hi, st), st) AS ok FROM p),
     s AS (SELECT *, count(*) FILTER (WHERE ok) OVER (PARTITION BY client_id ORDER BY request_id ROWS UNBOUNDED PRECEDING) AS n FROM f)
-    SELECT request_id, CASE WHEN ok AND n <= 256 THEN CAST(n AS INT) END AS sequence, CASE WHEN ok AND n <= 256 THEN (at_us - st) / 1000.0 END AS offset_ms FROM s""",
+    SELECT request_id, CASE WHEN ok THEN CAST(n AS INT) END AS sequence, CASE WHEN ok THEN (at_us - st) / 1000.0 END AS offset_ms FROM s""",
 )
 def journal(spark, folder):
     r = requests(spark, folder)

@@ -29,7 +29,7 @@ def html_blocks(html: Column) -> Column:
     bare = F.regexp_replace(html, _DROPPED, "")
     opened = F.regexp_replace(bare, rf"(?i)<(?:{BLOCK_TAGS})(?:\s[^>]*)?>", _OPEN)
     marked = F.regexp_replace(opened, rf"(?i)</(?:{BLOCK_TAGS})\s*>", _CLOSE)
-    pieces = F.slice(F.split(marked, _OPEN), 2, 1_000_000_000)
+    pieces = F.filter(F.split(marked, _OPEN), lambda _, i: i > 0)
 
     def clean(piece: Column) -> Column:
         inside = F.substring_index(piece, _CLOSE, 1)
