@@ -8,9 +8,10 @@ Jaccard similarity. Points come in order of time and a shingle is left as soon a
 so most shingles cost one point.
 
 Equal multisets are one class before banding. In every band bucket one member, chosen by hash, is compared with all
-others; links found so give components, and only buckets that still hold several components compare members across
-them, less those that the triangle inequality of the distances to the bucket's chosen member rules out. So no bucket
-emits all its pairs, and no link between components is lost. Similarity is verified on the texts' whole multisets.
+others; links found so give components. What may still link is narrowed by the triangle inequality (``bucket_links``),
+and only groups that hold several components are compared throughout, in blocks of bounded size that emit their links
+alone. So no bucket emits all its pairs, and no link that banding can find is lost between components. Similarity is
+verified on the texts' whole multisets.
 
 With 24 bands of 4 registers a pair at similarity 0.8 is missed with probability 3e-6.
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +39,9 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 24
 ROWS = 4
+BLOCK_ROWS = 512
+BLOCK_BYTES = 4_000_000
+SHARED = 1024
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _OCTAVE = np.uint64(0xA0761D6478BD642F)
 
@@ -158,6 +163,71 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFra
     return held.mapInArrow(run, "a long, b long, similarity double")
 
 
+def compared(groups: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
+    """``(a, b)``: all links between members of different components of a group; ``groups`` is (grp, cid, component).
+
+    A group is dealt into blocks of bounded rows and bytes, and each pair of blocks is one small task that multiplies
+    the members' shingle sets; small groups share tasks. Only links are emitted.
+    """
+    held = groups.join(texts.select(F.col("key").alias("cid"), "text", F.octet_length("text").alias("_bytes")), "cid")
+    weight = groups.join(texts.select(F.col("key").alias("cid"), F.octet_length("text").alias("_bytes")), "cid")
+    blocks = weight.groupBy("grp").agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("_bytes") / BLOCK_BYTES)).cast("int").alias("_blocks")
+    )
+    dealt = held.join(blocks, "grp").withColumn("_own", F.pmod(F.xxhash64("cid"), F.col("_blocks")).cast("int"))
+    paired = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumns(
+        {"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")}
+    )
+    # groups of one block are dealt to shared tasks, many to one
+    task = F.when(F.col("_blocks") > 1, F.xxhash64("grp", "_i", "_j")).otherwise(F.pmod(F.xxhash64("grp"), F.lit(SHARED)))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rolling, out = Rolling(), [np.zeros((0, 2), np.int64)]
+        for _, one in rows.groupby(["grp", "_i", "_j"], sort=False):
+            if one["component"].nunique() > 1:
+                out.append(links_within(rolling, one, threshold, size))
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+
+    found = (
+        paired.select("grp", "cid", "component", "text", "_own", "_i", "_j", task.alias("_task"))
+        .groupBy("_task")
+        .applyInPandas(run, "a long, b long")
+    )
+    return distinct_pairs(found)
+
+
+def links_within(rolling: Rolling, rows: pd.DataFrame, threshold: float, size: int) -> np.ndarray:
+    """Pairs of rows at or above the threshold, of different components and, given two blocks, of different blocks.
+
+    The counts of a shingle are spread into unit elements, so that shared elements are a product of 0/1 matrices.
+    """
+    n = len(rows)
+    owner, hashes, counts = shingles(rolling, pa.array(rows["text"], pa.large_string()), size)
+    level, own = ragged(np.zeros(len(counts), np.int64), counts)
+    owner, elements = owner[own], mix64(hashes[own] + level.astype(np.uint64) * _OCTAVE)
+    _, element, times = np.unique(elements, return_inverse=True, return_counts=True)
+    total = np.bincount(owner, minlength=n)
+    common = times[element] > 1
+    owner, element = owner[common], element[common]
+    place = np.cumsum(times > 1) - 1
+    element = place[element]
+    order = np.argsort(element, kind="stable")
+    owner, element = owner[order], element[order]
+    shared = np.zeros((n, n), np.float32)
+    for first in range(0, int(element[-1]) + 1 if len(element) else 0, 4096):
+        low, high = np.searchsorted(element, (first, first + 4096))
+        part = np.zeros((n, 4096), np.float32)
+        part[owner[low:high], element[low:high] - first] = 1
+        shared += part @ part.T
+    component, block, cid = rows["component"].to_numpy(), rows["_own"].to_numpy(), rows["cid"].to_numpy()
+    similar = shared >= threshold * np.maximum(total[:, None] + total[None, :] - shared, 1) - 1e-9
+    similar &= component[:, None] != component[None, :]
+    if rows["_i"].iloc[0] != rows["_j"].iloc[0]:
+        similar &= block[:, None] != block[None, :]
+    left, right = np.nonzero(np.triu(similar, 1))
+    return np.column_stack([np.minimum(cid[left], cid[right]), np.maximum(cid[left], cid[right])])
+
+
 def distinct_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.lit(1).alias("_")).drop("_")
 
@@ -168,6 +238,37 @@ def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return cut_lineage(wanted.groupBy("key").agg(F.max("text").alias("text")))
 
 
+def bucket_links(docs: DataFrame, members: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """Nodes and links that join all members (bucket, cid) whose texts are similar and share a bucket.
+
+    Every bucket's chosen member is compared with the others, and links give components. Distances obey the triangle
+    inequality: with 1 - threshold = t, a linked pair is either within 2t and 3t of the chosen member, or both are
+    beyond 2t. So what is left to compare is, in groups of several components, all within 3t of a chosen member, and
+    each bucket's members beyond 2t.
+    """
+    near = 1 - threshold
+    chosen = (
+        members.groupBy("bucket")
+        .agg(F.min(F.struct(F.xxhash64("cid", "bucket").alias("o"), "cid")).alias("one"), F.count("*").alias("_n"))
+        .where("_n > 1")
+        .select("bucket", F.col("one.cid").alias("a"))
+    )
+    starred = cut_lineage(members.join(chosen, "bucket").select("bucket", "a", F.col("cid").alias("b")))
+    texts = texts_of(docs, starred.select(F.col("b").alias("key")))
+    tested = cut_lineage(verified(distinct_pairs(starred.where("a <> b")), texts, size))
+    links = tested.where(F.col("similarity") >= threshold).select("a", "b")
+    nodes = starred.select("b").distinct().select(F.lit(0).alias("g"), F.col("b").alias("cid"))
+    joined = cut_lineage(_components(nodes, links))
+    distance = 1 - F.col("similarity")
+    near_by = tested.where(distance <= 3 * near + 1e-9)
+    kin = near_by.select(F.col("a").alias("grp"), F.col("b").alias("cid")).unionByName(near_by.select(F.col("a").alias("grp"), F.col("a").alias("cid")).distinct())
+    far = starred.join(tested.where(distance > 2 * near - 1e-9).select("a", "b"), ["a", "b"]).select(F.col("bucket").alias("grp"), F.col("b").alias("cid"))
+    placed = cut_lineage(kin.unionByName(far).join(joined, "cid"))
+    mixed = placed.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("grp")
+    more = compared(placed.join(mixed, "grp"), texts, threshold, size)
+    return nodes, cut_lineage(links.unionByName(more))
+
+
 def near_documents(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
     """One row per document: ``key``, ``group_id`` (the least id of its group) and whether it is the one that stays."""
     signed = cut_lineage(sign(docs, bands, rows, size).withColumn("uid", F.monotonically_increasing_id()))
@@ -178,35 +279,8 @@ def near_documents(docs: DataFrame, threshold: float = THRESHOLD, bands: int = B
         .agg(F.min(order).alias("least"), F.first("bands").alias("bands"))
         .withColumn("cid", F.col("least.key"))
     )
-    members = classes.select("cid", F.explode("bands").alias("bucket"))
-    chosen = (
-        members.groupBy("bucket")
-        .agg(F.min(F.struct(F.xxhash64("cid").alias("o"), "cid")).alias("one"), F.count("*").alias("_n"))
-        .where("_n > 1")
-        .select("bucket", F.col("one.cid").alias("a"))
-    )
-    starred = members.join(chosen, "bucket").select("bucket", "a", F.col("cid").alias("b"))
-    starred = cut_lineage(starred)
-    stars = distinct_pairs(starred.where("a <> b"))
-    texts = texts_of(docs, starred.select(F.col("b").alias("key")))
-    tested = cut_lineage(verified(stars, texts, size))
-    links = tested.where(F.col("similarity") >= threshold).select("a", "b")
-    nodes = starred.select(F.lit(0).alias("g"), F.col("b").alias("cid")).distinct()
-    joined = cut_lineage(_components(nodes, links))
-    # buckets with several components: members of different ones that the chosen member can't tell apart
-    distance = tested.select("a", "b", (1 - F.col("similarity")).alias("d"))
-    placed = starred.join(joined.withColumnRenamed("cid", "b"), "b").join(distance, ["a", "b"], "left").fillna(0.0, ["d"])
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    open_ = cut_lineage(placed.join(mixed, "bucket").select("bucket", "b", "component", "d"))
-    x, y = open_.toDF("bucket", "a", "ca", "da"), open_.toDF("bucket", "b", "cb", "db")
-    across = x.join(y, "bucket").where(
-        (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & (F.col("da") > 0) & (F.col("db") > 0)
-        & (F.abs(F.col("da") - F.col("db")) <= 1 - threshold + 1e-9)
-    )
-    left = distinct_pairs(across.select("a", "b"))
-    more = verified(left, texts, size).where(F.col("similarity") >= threshold).select("a", "b")
-    whole = _components(nodes, cut_lineage(links.unionByName(more)))
-    member = classes.select("print1", "print2", "least", "cid").join(whole, "cid", "left")
+    nodes, links = bucket_links(docs, classes.select("cid", F.explode("bands").alias("bucket")), threshold, size)
+    member = classes.select("print1", "print2", "least", "cid").join(_components(nodes, links), "cid", "left")
     member = member.withColumn("component", F.coalesce("component", "cid"))
     best = member.groupBy("component").agg(F.min("least").alias("best"))
     told = member.join(best, "component").select("print1", "print2", "best")
