@@ -79,7 +79,7 @@ def _normal_form(form: str):
 
 
 def nfkc(text: Column) -> Column:
-    """NFKC; plain ASCII text never leaves the JVM value it already has."""
+    """NFKC; ASCII text keeps its value, though Spark hands every row to the Python helper."""
     return F.when(text.rlike(r"^[\x00-\x7F]*\z"), text).otherwise(_normal_form("NFKC")(text))
 
 

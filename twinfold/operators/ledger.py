@@ -113,7 +113,8 @@ def budget_check(calls: DataFrame, limits: Limits) -> DataFrame:
     """
     held = calls.withColumn("held", committed())
     tile = hour_tile(F.col("reserved_at"))
-    order = [F.col("reserved_at"), F.col("call_id")]
+    # call ids can repeat, so an event id settles ties where there is one
+    order = [F.col(c) for c in ("reserved_at", "call_id", "event_id") if c in calls.columns]
     total = running_before(held, ["budget_id"], tile, order, {"held_before": F.col("held")})
     daily = running_before(total, ["budget_id", "day"], tile, order, {"day_before": F.col("held")})
     request = money(F.col("reserved_usd"))

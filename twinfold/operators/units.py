@@ -87,14 +87,14 @@ def _cut(text: str, lengths: list[int]) -> list[str]:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _cut_all(texts: pd.Series, lengths: pd.Series) -> pd.Series:
-    return pd.Series([_cut(t, list(n)) for t, n in zip(texts, lengths)])
+    return pd.Series([None if t is None or n is None else _cut(t, list(n)) for t, n in zip(texts, lengths)])
 
 
 def distribute_text(units: DataFrame) -> DataFrame:
     """Cut ``translated`` over the original ``runs`` in proportion to their lengths.
 
     A cut moves to the nearest space, punctuation or symbol within reach. The cut
-    depends on the one before it, so the walk is an Arrow-batched helper.
+    depends on the one before it, so the walk is an Arrow-batched helper. A null text or null runs give null.
     """
     lengths = F.transform(F.filter("runs", lambda r: F.length(r) > 0), F.length)
     return units.withColumn("parts", _cut_all("translated", lengths))

@@ -64,8 +64,8 @@ def accounting_day(spark, folder):
 @query(
     "budget_check",
     _C
-    + """, w AS (SELECT *, coalesce(sum(held) OVER (PARTITION BY budget_id, day ORDER BY reserved_at, call_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS dayb,
-    coalesce(sum(held) OVER (PARTITION BY budget_id ORDER BY reserved_at, call_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS allb FROM c)
+    + """, w AS (SELECT *, coalesce(sum(held) OVER (PARTITION BY budget_id, day ORDER BY reserved_at, call_id, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS dayb,
+    coalesce(sum(held) OVER (PARTITION BY budget_id ORDER BY reserved_at, call_id, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS allb FROM c)
     SELECT event_id, CAST(dayb AS DOUBLE) AS day_before, CAST(allb AS DOUBLE) AS held_before, dayb + reserved_usd <= 5 AS within_day,
     allb + reserved_usd + 0.015 <= 100 AS within_budget FROM w""",
 )
