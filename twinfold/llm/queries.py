@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from twinfold.llm import comparison
 from twinfold.llm.bag_minhash import near_documents
 from twinfold.llm.common import table
 from twinfold.llm.context_mixing import score_texts
@@ -74,4 +75,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = comparison.ORACLE
