@@ -15,17 +15,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinfold.llm.common import Rolling, mix64, ragged
+from twinfold.session import cut_lineage
 
 _PLACE = np.uint64(0xFFFFFFFF)
-BLOCK_SCHEMA = "doc long, at long, core long, union long, block int, low int, high int, stands boolean"
-_KINDS = {
-    "doc": pa.int64(), "at": pa.int64(), "core": pa.int64(), "union": pa.int64(),
-    "block": pa.int32(), "low": pa.int32(), "high": pa.int32(), "stands": pa.bool_(),
-}
+#: ``spot`` holds an anchor's place and the least and most shift of its windows: place * 2**24 + low * 2**12 + high.
+BLOCK_SCHEMA = "doc long, spot long, core long, union long, stands boolean"
+_KINDS = {"doc": pa.int64(), "spot": pa.int64(), "core": pa.int64(), "union": pa.int64(), "stands": pa.bool_()}
+WIDEST = 1 << 12
+SALTS = 4
 
 
 def find_anchors(rolling: Rolling, sums: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> dict[str, np.ndarray]:
@@ -77,7 +78,8 @@ def cut_blocks(
 ) -> dict[str, np.ndarray]:
     """Blocks of ``size`` shifts of one sequence's anchors (``at``, ``core``, ``low``, ``high``, ``stands``).
 
-    An anchor that stands for others is cut over all its valid shifts, another one over its own windows.
+    An anchor that stands for others is cut over all its valid shifts, another one over its own windows. Single
+    windows keep the core they come from.
     """
     at, low, high = need["at"], need["low"], need["high"]
     low = np.maximum(low, np.maximum(0, at + width - length))
@@ -87,8 +89,8 @@ def cut_blocks(
     at, low, high = at[own], np.maximum(low[own], block * size), np.minimum(high[own], block * size + size - 1)
     if size == 1:
         start = begin + at - block
-        core = rolling.spans(sums, start, start + width)
-        union = mix64(need["core"][own].view(np.uint64) + block.astype(np.uint64))
+        core = need["core"][own].view(np.uint64)
+        union = mix64(rolling.spans(sums, start, start + width) + block.astype(np.uint64))
     else:
         far, near = at - block * size - size + 1, at - block * size
         core = rolling.spans(sums, begin + near, begin + far + width)
@@ -97,47 +99,89 @@ def cut_blocks(
         core = mix64(core + block.astype(np.uint64))
         alone = mix64(mix64(need["doc"][own].view(np.uint64)) + (at * 2 + 1).astype(np.uint64) + core)
         union = np.where(inside, mix64(whole + block.astype(np.uint64)), alone)
-    return {"own": own, "at": at, "core": core.view(np.int64), "union": union.view(np.int64), "block": block, "low": low, "high": high}
+    return {"own": own, "at": at, "core": core.view(np.int64), "union": union.view(np.int64), "low": low, "high": high}
+
+
+def at_of(spot: Column) -> Column:
+    return F.shiftright(spot, 24)
+
+
+def low_of(spot: Column) -> Column:
+    return F.shiftright(spot, 12).bitwiseAND(WIDEST - 1)
+
+
+def high_of(spot: Column) -> Column:
+    return spot.bitwiseAND(WIDEST - 1)
+
+
+def in_company(blocks: DataFrame) -> DataFrame:
+    """The blocks whose core occurs more than once.
+
+    The cores are written first: a join of two plain shuffles is one that Spark can split where a core is frequent.
+    """
+    many = blocks.groupBy("core").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("core").alias("_core"))
+    return blocks.join(cut_lineage(many), F.col("core") == F.col("_core")).drop("_core")
+
+
+def _salted(keys: DataFrame) -> DataFrame:
+    return keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
 def buckets(blocks: DataFrame) -> DataFrame:
-    """``(core, union, n, one)``: occurrences of each pair of buckets, and one of them."""
+    """``(core, union, n, doc, spot)``: occurrences of each pair of buckets, and one of them."""
     return blocks.groupBy("core", "union").agg(
-        F.sum(F.when(F.col("stands"), 2).otherwise(1)).alias("n"),
-        F.min(F.struct("doc", "at", "block", "low", "high")).alias("one"),
+        F.sum(F.when(F.col("stands"), 2).otherwise(1)).alias("n"), F.min("doc").alias("doc"), F.min_by("spot", "doc").alias("spot")
     )
 
 
-def open_blocks(held: DataFrame, size: int) -> DataFrame:
-    """Blocks to be cut further: their core occurs in several unions, one of them single.
-
-    A union that occurs once is cut over its own windows, a repeated one stands for its occurrences.
-    """
+def judged(held: DataFrame) -> DataFrame:
+    """The buckets that matter, with ``open`` where their core occurs in several unions, one of them single."""
     several = (
         held.groupBy("core")
         .agg(F.count("*").alias("_unions"), F.min("n").alias("_least"))
         .where("_unions > 1 and _least = 1")
-        .select("core")
+        .select(F.col("core").alias("_core"))
     )
-    repeated = F.col("n") > 1
-    return held.join(several, "core").select(
-        "one.doc",
-        "one.at",
+    salt = F.pmod(F.col("union"), F.lit(SALTS)) == F.col("_salt")  # a core may have any number of unions
+    marked = held.join(_salted(several), (F.col("core") == F.col("_core")) & salt, "left").withColumn("open", F.col("_core").isNotNull())
+    return marked.where("open or n > 1").drop("_core", "_salt")
+
+
+def open_blocks(judged_: DataFrame, size: int) -> DataFrame:
+    """Blocks of open buckets, to be cut further.
+
+    A union that occurs once is cut over its own windows, a repeated one stands for its occurrences.
+    """
+    repeated, spot = F.col("n") > 1, F.col("spot")
+    block = (low_of(spot) / size).cast("int") * size
+    return judged_.where("open").select(
+        "doc",
+        at_of(spot).alias("at"),
         "core",
-        F.when(repeated, F.col("one.block") * size).otherwise(F.col("one.low")).cast("int").alias("low"),
-        F.when(repeated, F.col("one.block") * size + size - 1).otherwise(F.col("one.high")).cast("int").alias("high"),
+        F.when(repeated, block).otherwise(low_of(spot)).cast("int").alias("low"),
+        F.when(repeated, block + size - 1).otherwise(high_of(spot)).cast("int").alias("high"),
         repeated.alias("stands"),
     )
 
 
 def repeats(blocks: DataFrame, held: DataFrame) -> DataFrame:
-    """``(doc, at, low, high)`` of every block whose union occurs more than once."""
-    twice = held.where("n > 1").select("core", "union")
-    return blocks.where(~F.col("stands")).join(twice, ["core", "union"]).select("doc", "at", "low", "high")
+    """``(doc, spot)`` of every block whose union occurs more than once."""
+    twice = held.where("n > 1").select(F.col("core").alias("_core"), F.col("union").alias("_union"))
+    same = (F.col("core") == F.col("_core")) & (F.col("union") == F.col("_union"))
+    salt = F.pmod(F.col("doc"), F.lit(SALTS)) == F.col("_salt")  # a union may have any number of occurrences
+    return blocks.where(~F.col("stands")).join(_salted(twice), same & salt).select("doc", "spot")
+
+
+def gathered_ranges(spots: DataFrame, width: int) -> DataFrame:
+    """``(doc, ranges)``: begin and end of the windows of each block."""
+    spot = F.col("spot")
+    ends = F.struct((at_of(spot) - high_of(spot)).alias("begin"), (at_of(spot) - low_of(spot) + width).alias("end"))
+    return spots.groupBy("doc").agg(F.collect_list(ends).alias("ranges"))
 
 
 def block_batch(parts: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
     """Blocks of several sequences as one batch of BLOCK_SCHEMA."""
+    parts = [p | {"spot": p["at"] << 24 | p["low"] << 12 | p["high"]} for p in parts]
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.concatenate([p[name] for p in parts]) if parts else np.zeros(0, np.int64)).cast(kind)
@@ -151,8 +195,7 @@ def anchor_batches(sequences, width: int, gram: int):
     """Batches of the coarsest blocks; ``sequences`` yields (prefix sums, offsets, keys of the sequences)."""
     for rolling, sums, offsets, keys in sequences:
         found = find_anchors(rolling, sums, offsets, width, gram)
-        zero = np.zeros(len(found["at"]), np.int64)
-        yield block_batch([found | {"doc": keys[found["row"]], "block": zero, "stands": zero.astype(bool)}])
+        yield block_batch([found | {"doc": keys[found["row"]], "stands": np.zeros(len(found["at"]), bool)}])
 
 
 def block_batches(sequences, needs: pa.ListArray, width: int, size: int):

@@ -4,7 +4,9 @@ Suffixes are put into buckets by a gram at their start, and a bucket is refined
 suffix's bucket for twice the length is that of (its bucket, the bucket at the offset beyond it). Here a bucket's
 identifier is a hash of the bytes it stands for, so refined identifiers are made from prefix sums where the text is,
 and only their counts travel. Each level is one shuffle on bucket identifiers; suffixes alone in their bucket leave,
-and what a level has settled is not looked at again by the next, finer one (see ``anchors``). The first level holds
+and what a level has settled is not looked at again by the next, finer one (see ``anchors``). The first
+level needs no shuffle of the texts; all later ones are one plan, so that the texts are shuffled once for them and for
+the result. The first level holds
 only sampled suffixes, chosen so that no repeated 400-byte string can be missed.
 
 A byte goes if a 400-byte string that covers it starts anywhere else, in the same text or another one. Identifiers of
@@ -25,10 +27,14 @@ from pyspark.sql import types as T
 
 from twinfold.llm.anchors import (
     BLOCK_SCHEMA,
+    WIDEST,
     anchor_batches,
     block_batches,
     buckets,
     gathered_needs,
+    gathered_ranges,
+    in_company,
+    judged,
     merged,
     open_blocks,
     repeats,
@@ -37,7 +43,7 @@ from twinfold.llm.common import Rolling, clean_text, flat, pieces
 from twinfold.session import cut_lineage
 
 WIDTH = 400
-GRAM = 240
+GRAM = 160
 SIZES = (16, 1)
 CHUNK = 1_000_000
 
@@ -55,39 +61,41 @@ def _sequences(batch: pa.RecordBatch, rolling: Rolling):
         yield rolling, rolling.prefix(rolling.bytes[part]), offsets[start : stop + 1] - offsets[start], keys[start:stop]
 
 
-def first_level(texts: DataFrame, width: int, gram: int) -> DataFrame:
+def first_level(texts: DataFrame, width: int, gram: int, sequences=_sequences) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
         for batch in batches:
-            yield from anchor_batches(_sequences(batch, rolling), width, gram)
+            yield from anchor_batches(sequences(batch, rolling), width, gram)
 
     return texts.select("doc", "text").mapInArrow(run, BLOCK_SCHEMA)
 
 
-def next_level(texts: DataFrame, need: DataFrame, width: int, size: int) -> DataFrame:
+def next_level(texts: DataFrame, need: DataFrame, width: int, size: int, sequences=_sequences) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
         for batch in batches:
             if batch.num_rows:
-                yield from block_batches(_sequences(batch, rolling), batch.column("need"), width, size)
+                yield from block_batches(sequences(batch, rolling), batch.column("need"), width, size)
 
     return texts.join(gathered_needs(need).hint("shuffle_hash"), "doc").mapInArrow(run, BLOCK_SCHEMA)
 
 
-def repeated_ranges(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, sizes: tuple[int, ...] = SIZES) -> DataFrame:
-    """``(doc, ranges)``: ranges (begin, end) of the windows that occur elsewhere too."""
+def repeated_ranges(texts: DataFrame, dealt: DataFrame, width: int = WIDTH, gram: int = GRAM, sizes: tuple[int, ...] = SIZES) -> DataFrame:
+    """``(doc, ranges)``: ranges (begin, end) of the windows that occur elsewhere too.
+
+    ``dealt`` are the same texts, shuffled by ``doc``.
+    """
+    if not gram <= width < WIDEST:
+        raise ValueError(f"a window has from {gram} to {WIDEST - 1} units")
     blocks, size = first_level(texts, width, gram), width - gram + 1
-    found = None
-    for finer in (*sizes, None):
-        held = buckets(blocks)
-        level = repeats(blocks, held)
-        found = level if found is None else found.unionByName(level)
-        if finer is not None:
-            blocks, size = next_level(texts, cut_lineage(open_blocks(held, size)), width, finer), finer
-    spans = found.select(
-        "doc", F.struct((F.col("at") - F.col("high")).alias("begin"), (F.col("at") - F.col("low") + width).alias("end")).alias("s")
-    )
-    return spans.groupBy("doc").agg(F.collect_list("s").alias("ranges"))
+    blocks = cut_lineage(in_company(blocks))
+    held = cut_lineage(judged(buckets(blocks)))
+    found = repeats(blocks, held)
+    for finer, last in zip(sizes, (*[False] * (len(sizes) - 1), True), strict=True):
+        blocks, size = next_level(dealt, open_blocks(held, size), width, finer), finer
+        held = buckets(blocks) if last else judged(buckets(blocks))
+        found = found.unionByName(repeats(blocks, held))
+    return gathered_ranges(found, width)
 
 
 def range_arrays(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
@@ -105,7 +113,8 @@ def with_ranges(texts: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def remove_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, sizes: tuple[int, ...] = SIZES) -> DataFrame:
     """Per document: bytes, bytes removed, maximal removed runs, hash of what is left."""
-    texts = keyed(docs).repartition("doc")
+    texts = keyed(docs)
+    dealt = texts.repartition("doc")
     schema = T.StructType(
         [docs.schema["doc_id"]] + [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())]
     )
@@ -130,4 +139,4 @@ def remove_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, siz
             columns = [pa.array(c) for c in zip(*out, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=[f.name for f in schema])
 
-    return with_ranges(texts, repeated_ranges(texts, width, gram, sizes)).select("doc_id", "text", "ranges").mapInArrow(run, schema)
+    return with_ranges(dealt, repeated_ranges(texts, dealt, width, gram, sizes)).select("doc_id", "text", "ranges").mapInArrow(run, schema)
