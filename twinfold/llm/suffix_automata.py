@@ -8,7 +8,8 @@ shard are streamed through it for matching statistics. Maximal spans at or above
 never judged on what is left of the text.
 
 A shard that many documents meet is copied to as many tasks as their words ask for, so a passage that a third of all
-documents hold is no hot task. Only documents' parts with anchors of a shard travel, as word hashes of 64 bits.
+documents hold is no hot task. Only documents' parts with anchors of a shard travel. Hashes find candidates; the automaton
+compares the words themselves.
 
 Rows: null text counts as empty; repeated rows are texts of their own and so remove each other from 35 words on; shorter
 texts stay whole. Words are split at ``[\\x20\\x09-\\x0D]`` and kept unchanged. An empty table gives an empty result.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinfold.llm.anchors import SALTS, at_of, buckets, high_of, in_company, judged, low_of, merged, open_blocks
-from twinfold.llm.common import Rolling, batch_words
+from twinfold.llm.common import Rolling, batch_words, flat, pieces, word_bounds
 from twinfold.llm.suffix_buckets import first_level, keyed, next_level, range_arrays, with_ranges
 from twinfold.session import cut_lineage
 
@@ -38,16 +39,16 @@ TASK_WORDS = 1_000_000
 
 
 class SuffixAutomaton:
-    """Online suffix automaton of words given as integers; passages never join."""
+    """Online suffix automaton of words; passages never join."""
 
     def __init__(self) -> None:
-        self.next: list[dict[int, int]] = [{}]
+        self.next: list[dict] = [{}]
         self.link = [-1]
         self.length = [0]
         self.last = 0
         self._break = -1
 
-    def extend(self, word: int) -> None:
+    def extend(self, word) -> None:
         nxt, link, length = self.next, self.link, self.length
         new, p = len(nxt), self.last
         nxt.append({})
@@ -71,13 +72,13 @@ class SuffixAutomaton:
                 link[q] = link[new] = twin
         self.last = new
 
-    def add(self, passage: list[int]) -> None:
+    def add(self, passage: list) -> None:
         for word in passage:
             self.extend(word)
         self.extend(self._break)  # a word that no text has
         self._break -= 1
 
-    def spans(self, words: list[int], least: int) -> list[tuple[int, int]]:
+    def spans(self, words: list, least: int) -> list[tuple[int, int]]:
         """Maximal spans covered by matches of at least ``least`` words."""
         nxt, link, length = self.next, self.link, self.length
         state = size = 0
@@ -107,55 +108,53 @@ def _sequences(batch: pa.RecordBatch, rolling: Rolling):
 
 
 def parts_of(dealt: DataFrame, ranges: DataFrame) -> DataFrame:
-    """``(doc, shard, begin, words)``: the words of each document's merged ranges per shard.
+    """``(doc, shard, begin, words)``: the words, as bytes, of each document's merged ranges per shard.
 
-    ``ranges`` is (doc, shard, begin, end).
+    ``ranges`` is (doc, shard, begin, end) in words.
     """
     gathered = ranges.groupBy("doc").agg(F.collect_list(F.struct("shard", "begin", "end")).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = Rolling()
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                piece = batch.slice(start, 500)
-                words, offsets = batch_words(rolling, piece.column("text"))
-                signed, keys, parts = words.view(np.int64), piece.column("doc").to_numpy(), piece.column("parts")
-                bounds = parts.offsets.to_numpy()
-                shard, begin, end = (parts.values.field(k).to_numpy(zero_copy_only=False) for k in ("shard", "begin", "end"))
-                rows: list[tuple] = []
-                for i in range(len(keys)):
-                    own = slice(bounds[i], bounds[i + 1])
+            data, offsets = flat(batch.column("text"))
+            keys, bounds = batch.column("doc").to_numpy(), batch.column("parts").offsets.to_numpy()
+            shard, begin, end = (batch.column("parts").values.field(k).to_numpy(zero_copy_only=False) for k in ("shard", "begin", "end"))
+            for start, stop in pieces(offsets, 2_000_000):
+                piece = data[offsets[start] : offsets[stop]]
+                first, last, at = word_bounds(piece, offsets[start : stop + 1] - offsets[start])
+                raw, rows = piece.tobytes(), []
+                for i in range(start, stop):
+                    own, word = slice(bounds[i], bounds[i + 1]), at[i - start]
                     for s in np.unique(shard[own]):
                         here = shard[own] == s
                         for a, b in zip(*merged(begin[own][here], end[own][here]), strict=True):
-                            rows.append((keys[i], s, a, signed[offsets[i] + a : offsets[i] + b]))
+                            rows.append((keys[i], s, a, raw[first[word + a] : last[word + b - 1]]))
                 if rows:
-                    doc, shards, first, lists = zip(*rows, strict=True)
-                    ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+                    columns = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(doc, pa.int64()), pa.array(shards, pa.int64()), pa.array(first, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists)))],
+                        [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
                         names=["doc", "shard", "begin", "words"],
                     )
 
-    return dealt.join(gathered.hint("shuffle_hash"), "doc").select("doc", "text", "parts").mapInArrow(run, "doc long, shard long, begin long, words array<long>")
+    return dealt.join(gathered.hint("shuffle_hash"), "doc").mapInArrow(run, "doc long, shard long, begin long, words binary")
 
 
 def match_shards(reference: DataFrame, parts: DataFrame, copies: DataFrame, width: int) -> DataFrame:
     """``(doc, begin, end)`` of matches; ``copies`` is (shard, n): the tasks that share a shard's documents."""
-    passages = reference.join(copies, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    streams = parts.join(copies, "shard").withColumn("copy", F.pmod(F.xxhash64("doc", "begin"), F.col("n")).cast("int"))
+    dealt_to = F.coalesce("n", F.lit(1))
+    passages = reference.join(copies, "shard", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), dealt_to - 1)))
+    streams = parts.join(copies, "shard", "left").withColumn("copy", F.pmod(F.xxhash64("doc", "begin"), dealt_to).cast("int"))
 
     def stream(known: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
         automaton = SuffixAutomaton()
         for passage in known["words"]:
-            automaton.add(passage.tolist())
+            automaton.add(passage.split())
         seen: dict[bytes, list[tuple[int, int]]] = {}
         doc, begin, end = [], [], []
         for key, first, words in zip(texts["doc"], texts["begin"], texts["words"], strict=True):
-            name = words.tobytes()
-            if name not in seen:
-                seen[name] = automaton.spans(words.tolist(), width)
-            for a, b in seen[name]:
+            if words not in seen:
+                seen[words] = automaton.spans(words.split(), width)
+            for a, b in seen[words]:
                 doc.append(key)
                 begin.append(first + a)
                 end.append(first + b)
@@ -184,9 +183,11 @@ def repeated_spans(texts: DataFrame, dealt: DataFrame, width: int = WIDTH, gram:
     owners = owners.withColumn("shard", F.pmod(F.xxhash64("doc"), F.lit(shards)))
     routes = owners.select("core", "shard").distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     asked = blocks.select("doc", "spot", "core").withColumn("_salt", F.pmod("doc", F.lit(SALTS)).cast("int")).join(routes, ["core", "_salt"])
-    asked = asked.groupBy("doc", "spot", "shard").agg(F.lit(1).alias("_")).drop("_")
-    load = asked.groupBy("shard").agg(F.sum(high_of(F.col("spot")) - low_of(F.col("spot")) + width).alias("w"))
-    copies = load.select("shard", (1 + F.floor(F.col("w") / TASK_WORDS)).cast("int").alias("n"))
+    # as many tasks for a shard as its coarse blocks' words ask for
+    held_by = F.pmod(F.xxhash64("doc"), F.lit(shards)).alias("shard")
+    words = F.col("n") * (high_of(F.col("spot")) - low_of(F.col("spot")) + 1)
+    load = held.where("n > 1").groupBy(held_by).agg(F.sum(words).alias("w"))
+    copies = cut_lineage(load.select("shard", (1 + F.floor(F.col("w") / TASK_WORDS)).cast("int").alias("n")))
     reference = parts_of(dealt, _ranges(owners, width))
     spans = match_shards(reference, parts_of(dealt, _ranges(asked, width)), copies, width)
     return spans.groupBy("doc").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
