@@ -67,6 +67,18 @@ def test_equal_the_plain_version(spark, make):
     assert sorted(map(str, small)) == sorted(map(str, rows))
 
 
+def test_one_word_in_five_replaced(spark, make):
+    items = [(i, " ".join(f"v{i}x{k}" for k in range(30))) for i in range(6)]
+    edited = lambda t: " ".join("new" if k % 5 == 4 else w for k, w in enumerate(t.split()))
+    texts = [(i, f"some words before {edited(t)} and after") for i, t in items]
+    texts += [(10 * i + k, t) for i, t in items[3:] for k in range(3)]  # verbatim copies of half of the items
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(make(texts), bench).collect()}
+    assert found == {(i, i) for i in range(6)} | {(10 * i + k, i) for i in range(3, 6) for k in range(3)}
+    assert decontaminate.without_leaks(make(texts), bench).count() == 0
+    assert found == brute(texts, items).keys()
+
+
 def test_empty_tables(spark, make):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_leaks(make([(1, "a b c d e")]), none).count() == 0

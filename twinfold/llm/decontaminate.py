@@ -1,14 +1,15 @@
 """Benchmark decontamination by rare n-gram seeds and local alignment.
 
-Every four-word gram of a test item is a seed. One pass over all documents counts the documents that hold each seed;
-of every two neighbouring seeds of an item the rarer is kept, so five words in a row that survive editing always hold
-a kept seed, and no seed is dropped for being frequent. A second pass finds the kept seeds in each document and aligns the item with the words
-around them (Smith-Waterman: 1 for a match, -0.5 for a mismatch or a gap). The score over the item's length is 1 for
-a verbatim copy and falls with every edit; from the threshold on, document and item are reported with the place.
+Every four-word gram of a test item is a seed, and no seed is dropped, neither for being frequent nor for having a rarer
+neighbour: any four words in a row that survive editing find their item. One pass over all documents finds the seeds in
+each document and aligns the item with the words around them (Smith-Waterman: 1 for a match, -0.5 for a mismatch or a
+gap). The score over the item's length is 1 for a verbatim copy and falls with every edit; from the threshold on,
+document and item are reported with the place. Words around a seed that share fewer of the item's words than the
+threshold asks for cannot reach it and are not aligned. A copy without four surviving words in a row is not found.
 
 Words are lower case in ASCII and split at white space and ASCII punctuation. Test items are taken in blocks of
-bounded size and each block passes over all documents; nothing of the documents is shuffled but seed counts, and what
-a task holds depends on the item block and one Arrow batch.
+bounded size and each block passes over all documents; nothing of the documents is shuffled, and what a task holds
+depends on the item block and one Arrow batch.
 
 Rows: null or empty texts, and items of fewer than four words, match nothing. Items with equal words are reported each;
 repeated documents are reported each. An empty table gives an empty result. Other columns pass through.
@@ -21,13 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinfold.llm.common import Rolling, clean_text, flat, letters_only, lower_ascii, pieces, word_bounds
 
 SEED = 4
-NEIGHBOURS = 2
 THRESHOLD = 0.5
 BLOCK_WORDS = 1_000_000
 PENALTY = 0.5
@@ -105,47 +104,23 @@ def _item_words(block: list[tuple[int, str]]) -> tuple[Rolling, np.ndarray, np.n
     return rolling, np.concatenate(words), np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
 
 
-def seed_counts(docs: DataFrame, block: list[tuple[int, str]]) -> dict[int, int]:
-    """Number of documents that hold each seed of the block."""
-    rolling, words, offsets = _item_words(block)
+def item_seeds(words: np.ndarray, offsets: np.ndarray, rolling: Rolling) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, item number and place in the item of every seed, ordered by hash."""
     hashes, inside = grams(rolling, words, offsets)
-    wanted = np.unique(hashes[inside])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling, seeds, total = Rolling(), Seeds(wanted), np.zeros(len(wanted), np.int64)
-        for batch in batches:
-            for _, words, offsets in plain_words(rolling, batch.column("text")):
-                at, number = seeds.find(*grams(rolling, words, offsets))
-                owner = np.searchsorted(offsets, at, side="right")
-                pairs = np.unique(owner * max(len(wanted), 1) + number)
-                total += np.bincount(pairs % max(len(wanted), 1), minlength=len(wanted))
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(wanted[used].view(np.int64)), pa.array(total[used])], names=["seed", "n"])
-
-    counted = docs.select(clean_text().alias("text")).mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    return {r["seed"] % 2**64: r["n"] for r in counted.collect()}  # at most the block's words
-
-
-def rare_seeds(block: list[tuple[int, str]], counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, item number and place in the item of the kept seeds, ordered by hash."""
-    rolling, words, offsets = _item_words(block)
-    hashes, _ = grams(rolling, words, offsets)
-    kept = set()
-    for i in range(len(block)):
-        own = hashes[offsets[i] : max(offsets[i + 1] - SEED + 1, offsets[i])].tolist()
-        order = [(counts.get(h, 0), h, k) for k, h in enumerate(own)]
-        kept |= {(min(order[k : k + NEIGHBOURS])[1], i, min(order[k : k + NEIGHBOURS])[2]) for k in range(max(len(own) - NEIGHBOURS + 1, min(len(own), 1)))}
-    ordered = sorted(kept)
-    return np.array([x[0] for x in ordered], np.uint64), np.array([x[1] for x in ordered], np.int64), np.array([x[2] for x in ordered], np.int64)
+    at = np.flatnonzero(inside)
+    item = np.searchsorted(offsets, at, side="right") - 1
+    order = np.argsort(hashes[at], kind="stable")
+    return hashes[at][order], item[order], (at - offsets[item])[order]
 
 
 class Aligner:
     """Finds the items of a block in texts."""
 
-    def __init__(self, block: list[tuple[int, str]], kept: tuple[np.ndarray, np.ndarray, np.ndarray], threshold: float) -> None:
+    def __init__(self, block: list[tuple[int, str]], threshold: float) -> None:
         self.rolling, words, offsets = _item_words(block)
         self.items = [words[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        self.hashes, self.item, self.place = kept
+        self.sizes = np.diff(offsets)
+        self.hashes, self.item, self.place = item_seeds(words, offsets, self.rolling)
         self.seeds = Seeds(np.unique(self.hashes))
         self.first = np.searchsorted(self.hashes, self.seeds.sorted)
         self.many = np.diff(np.append(self.first, len(self.hashes)))
@@ -164,23 +139,23 @@ class Aligner:
             begin = at - self.place[seed]
             order = np.lexsort((begin, item, owner))
             owner, item, begin = owner[order], item[order], begin[order]
-            low = 0
-            for high in range(1, len(order) + 1):
-                last = high == len(order)
+            # alignments of one item that could overlap are one region
+            new = np.ones(len(order) + 1, bool)
+            new[1:-1] = (owner[1:] != owner[:-1]) | (item[1:] != item[:-1]) | (np.diff(begin) > 2 * self.sizes[item[1:]])
+            bounds = np.flatnonzero(new)
+            for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 size = len(self.items[item[low]])
-                # alignments of one item that could overlap are one region
-                if not last and owner[high] == owner[low] and item[high] == item[low] and begin[high] - begin[high - 1] <= 2 * size:
-                    continue
                 lower = max(int(begin[low]) - size, int(offsets[owner[low]]))
                 upper = min(int(begin[high - 1]) + 2 * size, int(offsets[owner[low] + 1]))
                 found = self.judge(int(item[low]), words[lower:upper])
                 if found:
                     shift = lower - int(offsets[owner[low]])
                     yield start + int(owner[low]), int(item[low]), found[0], found[1] + shift, found[2] + shift
-                low = high
 
     def judge(self, item: int, words: np.ndarray) -> tuple[float, int, int] | None:
         own = self.items[item]
+        if np.isin(own, words).sum() / len(own) < self.threshold:  # a score is at most the item's words that are there
+            return None
         best, end = align(own, words)
         if best / len(own) < self.threshold:
             return None
@@ -196,10 +171,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     ids = pa.int64() if isinstance(items.schema["item_id"].dataType, T.LongType) else None
     out = None
     for block in item_blocks(items, limit):
-        kept = rare_seeds(block, seed_counts(docs, block))
 
-        def run(batches: Iterator[pa.RecordBatch], block=block, kept=kept) -> Iterator[pa.RecordBatch]:
-            aligner = Aligner(block, kept, threshold)
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            aligner = Aligner(block, threshold)
             for batch in batches:
                 rows = list(aligner.scan(batch.column("text")))
                 text, item, score, begin, end = zip(*rows, strict=True) if rows else ((),) * 5
@@ -223,10 +197,9 @@ def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
     """The documents that hold no item, with all their columns; each block of items passes over what is left."""
     out = docs
     for block in item_blocks(items, limit):
-        kept = rare_seeds(block, seed_counts(docs, block))
 
-        def run(batches: Iterator[pa.RecordBatch], block=block, kept=kept) -> Iterator[pa.RecordBatch]:
-            aligner = Aligner(block, kept, threshold)
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            aligner = Aligner(block, threshold)
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 clean[[row[0] for row in aligner.scan(batch.column("text"))]] = False
