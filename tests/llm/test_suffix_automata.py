@@ -18,6 +18,34 @@ def test_shards_and_copies(make, monkeypatch):
     same(suffix_automata.remove_passages(make(texts), width=12, gram=4).collect(), brute.repeated_words(dict(texts), 12))
 
 
+def test_tasks_and_shards_are_bounded(make, monkeypatch):
+    seen, match = [], suffix_automata.match_shards
+
+    def watched(reference, parts, copies, width):
+        sent = {}
+        for r in parts.collect():
+            sent[r.shard] = sent.get(r.shard, 0) + len(r.words.split())
+        held = {}
+        for r in reference.collect():
+            held[r.shard] = held.get(r.shard, 0) + len(r.words.split())
+        seen.append((sent, held, {r.shard: r.n for r in copies.collect()}))
+        return match(reference, parts, copies, width)
+
+    monkeypatch.setattr(suffix_automata, "match_shards", watched)
+    monkeypatch.setattr(suffix_automata, "TASK_WORDS", 500)
+    # a passage of one window in different surroundings: all its coarse unions occur once
+    line = " ".join(f"licence{k}" for k in range(35))
+    texts = [(i, " ".join([*(f"a{i}x{k}" for k in range(40)), line, *(f"b{i}x{k}" for k in range(40))])) for i in range(60)]
+    same(suffix_automata.remove_passages(make(texts)).collect(), brute.repeated_words(dict(texts)))
+    (sent, _, copies), *_ = seen
+    assert sum(sent.values()) >= 60 * 35 and all(copies.get(s, 1) >= w / 500 for s, w in sent.items())
+    # one long owner
+    monkeypatch.setattr(suffix_automata, "SHARD_WORDS", 200)
+    texts = [(i, " ".join(f"w{k}" for k in range(3000))) for i in range(2)]
+    same(suffix_automata.remove_passages(make(texts)).collect(), brute.repeated_words(dict(texts)))
+    assert len(seen[-1][1]) > 3 and max(seen[-1][1].values()) < 1500
+
+
 def test_table(spark, folder):
     docs = table(spark, folder, "documents")
     texts = {r.doc_id: r.text for r in docs.collect()}

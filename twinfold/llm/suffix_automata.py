@@ -2,13 +2,14 @@
 
 The reference holds every word sequence of the threshold's length that starts twice in the corpus, once each: its
 windows are found by the bucket counts of ``anchors``, one occurrence of each is its owner, and the owners' windows,
-joined where they overlap, are the reference passages. Passages are dealt into shards of bounded size by their owner.
+joined where they overlap, are the reference passages. Passages are dealt into shards by their owner and the range of
+positions they lie in, so a long owner's passages spread over shards.
 A shard's suffix automaton is built in every task that needs it, and the parts of documents that hold anchors of the
 shard are streamed through it for matching statistics. Maximal spans at or above the threshold are removed. A window is
 never judged on what is left of the text.
 
-A shard that many documents meet is copied to as many tasks as their words ask for, so a passage that a third of all
-documents hold is no hot task. Only documents' parts with anchors of a shard travel. Hashes find candidates; the automaton
+A shard that many documents meet is copied to as many tasks as the words of their parts ask for, counted over all
+blocks that meet the shard, so a passage that a third of all documents hold is no hot task. Only documents' parts with anchors of a shard travel. Hashes find candidates; the automaton
 compares the words themselves.
 
 Rows: null text counts as empty; repeated rows are texts of their own and so remove each other from 35 words on; shorter
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -172,6 +173,18 @@ def _ranges(rows: DataFrame, width: int) -> DataFrame:
     return rows.select("doc", "shard", (at_of(spot) - high_of(spot)).alias("begin"), (at_of(spot) - low_of(spot) + width).alias("end"))
 
 
+def shard_of(shards: int) -> Column:
+    """Shard of an owner's windows: by its document and the range of ``SHARD_WORDS`` words they lie in."""
+    return F.pmod(F.xxhash64("doc", F.floor(at_of(F.col("spot")) / SHARD_WORDS)), F.lit(shards))
+
+
+def task_counts(blocks: DataFrame, routes: DataFrame, width: int) -> DataFrame:
+    """``(shard, n)``: the tasks that the words of all blocks that meet a shard ask for; ``routes`` is (core, shard)."""
+    words = high_of(F.col("spot")) - low_of(F.col("spot")) + width
+    asked = blocks.groupBy("core").agg(F.sum(words).alias("w")).join(routes, "core")
+    return asked.groupBy("shard").agg((1 + F.floor(F.sum("w") / TASK_WORDS)).cast("int").alias("n"))
+
+
 def repeated_spans(texts: DataFrame, dealt: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """``(doc, ranges)`` of the words to remove; ``dealt`` are the same texts, shuffled by ``doc``."""
     blocks = cut_lineage(in_company(first_level(texts, width, gram, _sequences)))
@@ -180,14 +193,11 @@ def repeated_spans(texts: DataFrame, dealt: DataFrame, width: int = WIDTH, gram:
     sizes = held.agg(F.sum(high_of(F.col("spot")) - low_of(F.col("spot")) + 1)).first()[0] or 0
     shards = 1 + int(sizes) // SHARD_WORDS
     owners = held.where("n > 1").select("doc", "spot", "core").unionByName(single.where("n > 1").select("doc", "spot", "core"))
-    owners = owners.withColumn("shard", F.pmod(F.xxhash64("doc"), F.lit(shards)))
-    routes = owners.select("core", "shard").distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    asked = blocks.select("doc", "spot", "core").withColumn("_salt", F.pmod("doc", F.lit(SALTS)).cast("int")).join(routes, ["core", "_salt"])
-    # as many tasks for a shard as its coarse blocks' words ask for
-    held_by = F.pmod(F.xxhash64("doc"), F.lit(shards)).alias("shard")
-    words = F.col("n") * (high_of(F.col("spot")) - low_of(F.col("spot")) + 1)
-    load = held.where("n > 1").groupBy(held_by).agg(F.sum(words).alias("w"))
-    copies = cut_lineage(load.select("shard", (1 + F.floor(F.col("w") / TASK_WORDS)).cast("int").alias("n")))
+    owners = cut_lineage(owners.withColumn("shard", shard_of(shards)))
+    routes = owners.select("core", "shard").distinct()
+    salted = routes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    asked = blocks.select("doc", "spot", "core").withColumn("_salt", F.pmod("doc", F.lit(SALTS)).cast("int")).join(salted, ["core", "_salt"])
+    copies = cut_lineage(task_counts(blocks, routes, width))
     reference = parts_of(dealt, _ranges(owners, width))
     spans = match_shards(reference, parts_of(dealt, _ranges(asked, width)), copies, width)
     return spans.groupBy("doc").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
