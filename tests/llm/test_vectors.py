@@ -45,6 +45,21 @@ def test_small(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_recall_of_longer_vectors(spark):
+    rng = np.random.default_rng(5)
+    for dim in (128, 256):
+        rows = []
+        for g in range(200):
+            x, y = np.linalg.qr(rng.normal(size=(dim, 2)))[0].T
+            rows += [(len(rows), x.tolist(), 1), (len(rows) + 1, (0.981 * x + math.sqrt(1 - 0.981**2) * y).tolist(), 1)]
+        rows = [(i, [float(np.float32(x)) for x in v], lab) for i, v, lab in rows]
+        want = brute(rows)
+        got = {r.vec_id: r for r in vectors.near_vectors(spark.createDataFrame([(*r, "c", 1, "d") for r in rows], SCHEMA)).collect()}
+        assert sum(x[0] for x in want.values()) == 400
+        assert sum(r.n_links for r in got.values()) >= 0.97 * 400, dim
+        assert all(got[i].n_links <= want[i][0] for i in want)
+
+
 def test_recall_on_a_table(spark, folder):
     df = table(spark, folder, "embeddings")
     rows = [(r.vec_id, list(r.embedding), r.label) for r in df.collect()]

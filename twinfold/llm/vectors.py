@@ -1,7 +1,7 @@
 """Embedding near-duplicates by iterative quantisation and multi-index Hamming tables.
 
 A rotation of the centred, PCA-projected vectors is learned on a bounded sample so that the signs of the rotated
-vectors are balanced codes. Codes are cut into ``tables`` equal parts; a vector is stored under each of its parts and
+vectors are balanced codes. Codes are cut into equal parts of at most 16 bits, ``tables`` at least; a vector is stored under each of its parts and
 looked up under every part within ``radius`` bits of its own. Pairs that meet in any table are ranked again by the
 cosine of the original vectors in double precision, and only those at or above the threshold are links.
 
@@ -9,7 +9,7 @@ Equal vectors of one label form a class before anything is paired, so copies nev
 Links and components are over classes; ``n_links`` adds the sizes. Large buckets are split by the skew join.
 
 With the defaults (64 bits, four tables, radius one) a pair at cosine 0.98 is missed with probability below 1 %, and
-pairs above it less often. At a billion vectors use wider parts: fewer tables and a larger radius.
+pairs above it less often; longer vectors get more tables. At a billion vectors use wider parts: fewer tables and a larger radius.
 
 Rows: a vector that is null, zero, or holds null or non-finite numbers, and a row without a label, links with nothing
 and is its own component. Vectors are compared only with those of equal length; a length that the sample lacks gets a
@@ -32,6 +32,7 @@ from twinfold.session import cut_lineage
 SAMPLE = 20_000
 THRESHOLD = 0.98
 TABLES = 4
+PART_BITS = 16
 RADIUS = 1
 ROUNDS = 50
 
@@ -65,23 +66,25 @@ def fit(classes: DataFrame, sample: int = SAMPLE) -> dict[int, tuple[np.ndarray,
 
 
 def encode(classes: DataFrame, models: dict, tables: int = TABLES) -> DataFrame:
-    """``(cid, label, n_dims, codes)``: one integer per table, all of the code's bits together."""
+    """``(cid, label, n_dims, codes)``: one integer per table, all of the code's bits together; ``tables`` is the least number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = dict(models)
         for batch in batches:
             vectors = [np.asarray(v, np.float64) for v in batch.column("embedding").to_pylist()]
             lengths = np.array([len(v) for v in vectors], np.int32)
-            codes = np.zeros((len(vectors), tables), np.int64)
+            codes: list[np.ndarray] = [np.zeros(0, np.int64)] * len(vectors)
             for n in np.unique(lengths):
                 mean, turn = held.setdefault(n, learn_rotation(np.zeros((0, n))))
                 rows = np.flatnonzero(lengths == n)
                 x = np.array([vectors[i] for i in rows])
                 bits = ((x / np.linalg.norm(x, axis=1, keepdims=True) - mean) @ turn) >= 0
-                for t, part in enumerate(np.array_split(bits, tables, axis=1)):
-                    codes[rows, t] = part[:, :62] @ (np.int64(1) << np.arange(min(part.shape[1], 62), dtype=np.int64))
+                parts = np.array_split(bits, max(tables, -(-int(n) // PART_BITS)), axis=1)
+                own = np.stack([part @ (np.int64(1) << np.arange(part.shape[1], dtype=np.int64)) for part in parts], axis=1)
+                for i, code in zip(rows, own, strict=True):
+                    codes[i] = code
             yield pa.RecordBatch.from_arrays(
-                [batch.column("cid"), batch.column("label"), pa.array(lengths), pa.array(list(codes), pa.list_(pa.int64()))],
+                [batch.column("cid"), batch.column("label"), pa.array(lengths), pa.array(codes, pa.list_(pa.int64()))],
                 names=["cid", "label", "n_dims", "codes"],
             )
 
@@ -89,18 +92,18 @@ def encode(classes: DataFrame, models: dict, tables: int = TABLES) -> DataFrame:
     return classes.select("cid", "label", "embedding").mapInArrow(run, f"cid bigint, label {kind}, n_dims int, codes array<bigint>")
 
 
-def candidates(codes: DataFrame, tables: int = TABLES, radius: int = RADIUS) -> DataFrame:
+def candidates(codes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Distinct pairs ``(a, b)``, a < b, whose codes are within ``radius`` bits in at least one table.
 
     Looking up is one-sided: flipping bits of one code finds every code within the radius.
     """
-    stored = codes.select("cid", "label", "n_dims", F.posexplode("codes").alias("t", "code"))
-    bits = f"transform(sequence(0, least(cast(n_dims / {tables} as int) + 1, 62) - 1), i -> shiftleft(1L, i))"
+    stored = codes.select("cid", "label", "n_dims", F.size("codes").alias("tables"), F.posexplode("codes").alias("t", "code"))
+    bits = "transform(sequence(0, cast(n_dims / tables as int)), i -> shiftleft(1L, i))"
     level = masks = "array(0L)"
     for _ in range(radius):
         level = f"flatten(transform({level}, m -> transform({bits}, o -> m ^ o)))"
         masks = f"array_distinct(concat({masks}, {level}))"
-    probes = stored.withColumn("code", F.explode(F.expr(f"transform({masks}, m -> code ^ m)")))
+    probes = stored.withColumn("code", F.explode(F.expr(f"transform({masks}, m -> code ^ m)"))).drop("tables")
     left = probes.withColumnRenamed("cid", "a")
     right = stored.withColumnRenamed("cid", "b")
     met = left.join(right, ["label", "n_dims", "t", "code"]).where("a < b")
@@ -146,7 +149,7 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, tables: int = TA
     rows = rows.select("vec_id", "label", "embedding")
     classes = vector_classes(rows)
     codes = encode(classes, fit(classes, sample), tables)
-    links = cut_lineage(linked(candidates(codes, tables, radius), classes, threshold))
+    links = cut_lineage(linked(candidates(codes, radius), classes, threshold))
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     size = classes.select(F.col("cid").alias("b"), F.col("n").alias("_n"))
     degree = both.join(size, "b").groupBy(F.col("a").alias("cid")).agg(F.sum("_n").alias("_others"))
