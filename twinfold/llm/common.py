@@ -5,6 +5,9 @@ Hashes are functions of the content only, so equal texts hash alike in every tas
 
 from __future__ import annotations
 
+import sys
+import types
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -152,3 +155,14 @@ def ragged(begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def list_array(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
+
+
+def held(key: tuple, build):
+    """What ``build`` makes, kept under the key for the life of the worker process.
+
+    Task code arrives anew with each task, so its own globals do not last; a module entry of the process does.
+    """
+    store = vars(sys.modules.setdefault("twinfold_held", types.ModuleType("twinfold_held"))).setdefault("store", {})
+    if key not in store:
+        store[key] = build()
+    return store[key]

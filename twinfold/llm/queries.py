@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from twinfold.llm import comparison
 from twinfold.llm.bag_minhash import near_documents
+from twinfold.llm.bpe import round_trips
 from twinfold.llm.common import table
 from twinfold.llm.context_mixing import score_texts
 from twinfold.llm.decontaminate import find_leaks
+from twinfold.llm.filter_audit import filter_audit
 from twinfold.llm.packing import pack_documents
+from twinfold.llm.ranked_search import ranked_documents
 from twinfold.llm.secrets import secret_report
 from twinfold.llm.sharding import shard_documents
 from twinfold.llm.suffix_automata import remove_passages
@@ -62,6 +65,18 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_substrings(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trips(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_sharding": op2_sharding,
@@ -73,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_filter_interaction_audit": op11_filter_interaction_audit,
+    "op12_ranked_lexical_search": op12_ranked_lexical_search,
+    "op13_bpe_round_trip": op13_bpe_round_trip,
 }
 
 ORACLE: dict[str, str] = comparison.ORACLE
