@@ -8,7 +8,7 @@ linked to the next in this way, where a merge weighs the length of its u. ``suff
 list in one pass. Tokens that end so many symbols before the last symbol read are final, whatever follows, and the rest
 can be encoded without them. This needs every merge to come after those that make its parts, which is checked.
 
-**Encoding.** Text is cut at blanks and added tokens, normalised (NFC, white space to blanks, lower case), split into words
+**Encoding.** Text is cut at blanks and added tokens, normalised (NFC, lower case), split into words
 and fed to the transducer in blocks. It holds the lookahead and one block, however long the word is. Stretches and words
 seen before come from two tables of at most ``CACHE`` short entries. Texts of over ``CHUNK`` characters are taken piece by
 piece. Characters that this Python's Unicode version does not know are left to the tokenizer's own normaliser
@@ -29,6 +29,7 @@ import codecs
 import hashlib
 import heapq
 import json
+import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -92,7 +93,7 @@ class Vocabulary:
         self.inner = [ids[x] for x in letters]
         self.final = [ids[x + self.suffix] for x in letters]
         self.sizes = dict.fromkeys([*self.inner, *self.final], 1)
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        self.rank: dict[tuple[int, int], int] = {}
         merges = []
         for n, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
@@ -100,8 +101,9 @@ class Vocabulary:
             if u not in self.sizes or v not in self.sizes or made in self.sizes:
                 raise ValueError(f"merge {n} does not follow the merges of its parts, or repeats one")
             self.sizes[made] = self.sizes[u] + self.sizes[v]
-            self.rank[u, v] = n, made
+            self.rank[u, v] = n
             merges.append((u, v, made))
+        self.made = [made for *_, made in merges]
         self.lookahead = sufficient_lookahead(merges, self.sizes)
         self.added = {x["content"]: x["id"] for x in data["added_tokens"]}
         for x in data["added_tokens"]:
@@ -123,41 +125,48 @@ class Vocabulary:
         """Tokens of a run of symbols, all merges applied."""
         return self._merged_short(symbols) if len(symbols) < 48 else self._merged_long(symbols)
 
-    def _merged_short(self, symbols: list[int]) -> list[int]:
-        out, rank = list(symbols), self.rank
-        while len(out) > 1:
-            best, at = None, -1
-            for i, pair in enumerate(zip(out, out[1:])):
-                found = rank.get(pair)
-                if found is not None and (best is None or found[0] < best[0]):
-                    best, at = found, i
-            if best is None:
-                break
-            out[at : at + 2] = [best[1]]
+    def _merged_short(self, out: list[int]) -> list[int]:
+        rank, made = self.rank, self.made
+        none = len(made)
+        ranks = [rank.get(pair, none) for pair in zip(out, out[1:])]
+        while ranks and (n := min(ranks)) < none:
+            i = ranks.index(n)
+            token = out[i] = made[n]
+            del out[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank.get((out[i - 1], token), none)
+            if i < len(ranks):
+                ranks[i] = rank.get((token, out[i + 1]), none)
         return out
 
-    def _merged_long(self, symbols: list[int]) -> list[int]:
+    def _merged_long(self, token: list[int]) -> list[int]:
         """The same with a heap of pairs over a linked list."""
-        rank, token = self.rank, list(symbols)
+        rank, made = self.rank, self.made
         after = list(range(1, len(token))) + [-1]
         before = list(range(-1, len(token) - 1))
-        heap = [(found[0], i, found[1]) for i, pair in enumerate(zip(token, token[1:])) if (found := rank.get(pair))]
+        heap = [(n, i) for i, pair in enumerate(zip(token, token[1:])) if (n := rank.get(pair)) is not None]
         heapq.heapify(heap)
         while heap:
-            n, i, made = heapq.heappop(heap)
+            n, i = heapq.heappop(heap)
             j = after[i]
-            if token[i] < 0 or j < 0 or rank.get((token[i], token[j]), (-1,))[0] != n:
+            if token[i] < 0 or j < 0 or rank.get((token[i], token[j])) != n:
                 continue  # one of the two has been merged since
-            token[i], token[j] = made, -1
+            token[i], token[j] = made[n], -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for a in (before[i], i):
                 b = after[a] if a >= 0 else -1
-                if b >= 0 and (found := rank.get((token[a], token[b]))):
-                    heapq.heappush(heap, (found[0], a, found[1]))
+                if b >= 0 and (found := rank.get((token[a], token[b]))) is not None:
+                    heapq.heappush(heap, (found, a))
         return [x for x in token if x >= 0]
 
+    def word(self, data: bytes) -> list[int]:
+        """Tokens of a whole word."""
+        symbols = [self.inner[b] for b in data]
+        symbols[-1:] = [self.final[b] for b in data[-1:]]
+        return self.merged(symbols)
+
 
 class Transducer:
     """Encodes one word that comes in blocks of bytes; holds the lookahead and one block."""
@@ -186,10 +195,9 @@ class Transducer:
         return out
 
     def finish(self) -> list[int]:
-        inner, final = self.vocabulary.inner, self.vocabulary.final
-        symbols = [inner[b] for b in self.waiting[:-1]] + [final[b] for b in self.waiting[-1:]]
+        data = bytes(self.waiting)
         self.waiting.clear()
-        return self.vocabulary.merged(symbols)
+        return self.vocabulary.word(data)
 
 
 class Encoder(dict):
@@ -203,21 +211,24 @@ class Encoder(dict):
         self._library = None
 
     def __missing__(self, stretch: str) -> bytes:
-        added = self.vocabulary.added_pattern
+        added = self.vocabulary.added
+        if not any(x in stretch for x in added):
+            return self._keep(self, stretch, b"".join(map(self.word, self.words(stretch))))
         parts = []
-        for n, piece in enumerate(added.split(stretch) if added else [stretch]):
-            if n % 2:
-                parts.append(np.array([self.vocabulary.added[piece]], "<u4").tobytes())
-            else:
-                parts += map(self.word, self.words(piece))
-        return self._keep(self, stretch, b"".join(parts))
+        for piece in self.vocabulary.added_pattern.split(stretch):
+            parts += [np.array([added[piece]], "<u4").tobytes()] if piece in added else map(self.word, self.words(piece))
+        return b"".join(parts)
 
     def word(self, word: str) -> bytes:
         packed = self.by_word.get(word)
         if packed is None:
-            machine = Transducer(self.vocabulary)
-            ids = [x for part in machine.feed(word.encode()) for x in part] + machine.finish()
-            packed = self._keep(self.by_word, word, np.array(ids, "<u4").tobytes())
+            data = word.encode()
+            if len(data) <= BLOCK:  # no block would become final before the end
+                ids = self.vocabulary.word(data)
+            else:
+                machine = Transducer(self.vocabulary)
+                ids = [x for part in machine.feed(data) for x in part] + machine.finish()
+            packed = self._keep(self.by_word, word, struct.pack(f"<{len(ids)}I", *ids))
         return packed
 
     def _keep(self, store: dict[str, bytes], key: str, packed: bytes) -> bytes:
@@ -236,11 +247,9 @@ class Encoder(dict):
 
     def words(self, text: str) -> list[str]:
         """Normalised words of a text without added tokens."""
-        if text.isascii():
-            return WORDS.findall(text.lower())
-        if not self._strange(text):
-            text = SPACES.sub(" ", unicodedata.normalize("NFC", text))
-            return WORDS.findall(text.replace("Σ", "σ").lower())
+        if text.isascii() or not self._strange(text):  # white space is in no word, so it stays as it is
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+            return [text] if text.isalpha() else WORDS.findall(text)
         if self._library is None:
             from tokenizers import Tokenizer
 
