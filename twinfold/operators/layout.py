@@ -315,7 +315,19 @@ def reading_order(fragments: DataFrame, gutters: DataFrame) -> DataFrame:
     Separator lines cross the gutter and split the page into bands; a band is
     read left column first. ``gutters(page_id, cut)`` lists two-column pages.
     """
-    items = cut_lineage(visible(fragments).join(gutters, "page_id", "left"))
+    lines = ordered_lines(visible(fragments).join(gutters, "page_id", "left"))
+    return sequence_lines(lines, [F.col(c) for c in LINE_ORDER]).select(
+        "page_id", "seq", "text", "x", "y", "width", "height", "column", "fragment_ids"
+    )
+
+
+#: Columns of ``ordered_lines`` that order the lines of a page.
+LINE_ORDER = ("_ky", "_kx", "_kf", "part", "_oy", "_ox", "_ry", "row_x", "row_frag")
+
+
+def ordered_lines(items: DataFrame) -> DataFrame:
+    """Lines with the columns ``LINE_ORDER``; ``items`` are visible fragments with ``cut``, null on one-column pages."""
+    items = cut_lineage(items)
     span = _spanning(items.where("cut is not null"))
     marked = items.join(span, ["page_id", "frag_id"], "left").withColumn("spanning", F.coalesce("spanning", F.lit(False)))
     sep_rows = group_rows(marked.where("spanning"))
@@ -345,19 +357,19 @@ def reading_order(fragments: DataFrame, gutters: DataFrame) -> DataFrame:
     peer = F.col("k_peer").isNotNull() & (k_peer <= k_below)
     side = F.when(F.col("cut").isNull(), "full").when(F.col("x") < F.col("cut"), "left").otherwise("right")
     body = placed.select(
-        *fragments.columns,
+        *items.columns,
         F.when(peer, k_peer).otherwise(k_below).alias("k"),
         F.when(peer, 2).when(side == "right", 1).otherwise(0).alias("part"),
         side.alias("column"),
     )
     sep_items = sep_rows.join(seps.select("page_id", "row_frag", "k"), ["page_id", "row_frag"]).select(
-        *fragments.columns, "k", F.lit(2).alias("part"), F.lit("full").alias("column")
+        *items.columns, "k", F.lit(2).alias("part"), F.lit("full").alias("column")
     )
     keys = ["page_id", "k", "part", "column"]
     placed_items = cut_lineage(body.unionByName(sep_items))
     lines = line_text(group_rows(placed_items, keys), keys)
     on_separator = F.col("part") == 2
-    flat = lines.withColumns(
+    return lines.withColumns(
         {
             "_ky": F.col("k.y"),
             "_kx": F.col("k.x"),
@@ -367,10 +379,6 @@ def reading_order(fragments: DataFrame, gutters: DataFrame) -> DataFrame:
             "_ry": F.col("row_y"),
         }
     )
-    order = [F.col(c) for c in ("_ky", "_kx", "_kf", "part", "_oy", "_ox", "_ry", "row_x", "row_frag")]
-    return sequence_lines(flat, order).select(
-        "page_id", "seq", "text", "x", "y", "width", "height", "column", "fragment_ids"
-    )
 
 
 def sequence_lines(lines: DataFrame, order: list[Column]) -> DataFrame:

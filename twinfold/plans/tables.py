@@ -213,9 +213,37 @@ UNION ALL SELECT l_orderkey, 'c' || l_linenumber || '-2', {row}, 2, 1, CASE WHEN
 CELLS, CELLS_EDITED = _cells(False), _cells(True)
 GRIDS = "SELECT l_orderkey AS table_id, CAST(max(l_linenumber) AS INT) AS row_count, 3 AS column_count FROM {lineitem} GROUP BY l_orderkey"
 
+_ORDER_LINES = """SELECT l_orderkey AS page_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n,
+  l_partkey AS p, l_suppkey AS s, CAST(floor(l_quantity) AS INT) AS q, CAST(floor(l_extendedprice) AS INT) AS e, CAST(floor(l_discount * 100) AS INT) AS d, l_returnflag AS r FROM {lineitem}"""
+_SIDES = "SELECT 0 AS t UNION ALL SELECT 1 AS t"
+_COLUMNS = "SELECT 0 AS c UNION ALL SELECT 1 AS c UNION ALL SELECT 2 AS c UNION ALL SELECT 3 AS c UNION ALL SELECT 4 AS c"
+_CELL_X = "CAST(CASE WHEN page_id % 4 = 3 THEN 40 + 120 * c ELSE 30 + 140 * c END AS DOUBLE)"
+#: Pages of 640 by line items: a title on some, prose in two columns, one or two captioned tables of several kinds.
+PAGE_TABLES = f"""SELECT page_id, n * 100 + t * 10 + c AS frag_id,
+  CASE WHEN s % 9 = 0 THEN 'n.a.' WHEN c = 0 THEN CAST(q AS STRING) WHEN c = 1 THEN CAST(e AS STRING) WHEN c = 2 THEN CAST(d AS STRING) || '%'
+    WHEN c = 3 THEN CAST(q AS STRING) || ' (' || CAST(d AS STRING) || '%)' ELSE '-' || CAST(d AS STRING) || '.5' END AS text,
+  {_CELL_X} + (p % 3) * 2 AS x, CAST(440 + 2000 * t + 20 * n + CASE WHEN s % 17 = 0 AND n > 3 THEN 6 ELSE 0 END + c % 2 AS DOUBLE) AS y,
+  CAST(50 AS DOUBLE) AS width, CAST(10 AS DOUBLE) AS height
+FROM ({_ORDER_LINES}) AS a CROSS JOIN ({_SIDES}) AS b CROSS JOIN ({_COLUMNS}) AS k
+WHERE (t = 0 OR page_id % 3 = 0) AND (c < 4 OR page_id % 4 = 3) AND NOT (p % 6 = 0 AND c IN (1, 2))
+UNION ALL SELECT page_id, n * 100 + t * 10 + 5, 'wrapped', CAST(32 AS DOUBLE), CAST(450 + 2000 * t + 20 * n AS DOUBLE), CAST(60 AS DOUBLE), CAST(10 AS DOUBLE)
+FROM ({_ORDER_LINES}) AS a CROSS JOIN ({_SIDES}) AS b WHERE (t = 0 OR page_id % 3 = 0) AND p % 7 = 0
+UNION ALL SELECT page_id, n * 100 + t * 10 + 6, 'packed on day ' || CAST(q AS STRING) || ' with flag ' || r || ' for part', CAST(30 + 290 * t AS DOUBLE), CAST(30 + 14 * n + 3 * t AS DOUBLE),
+  CAST(CASE WHEN p % 11 = 0 AND t = 0 THEN 300 ELSE 260 END AS DOUBLE), CAST(10 AS DOUBLE) FROM ({_ORDER_LINES}) AS a CROSS JOIN ({_SIDES}) AS b
+UNION ALL SELECT page_id, n * 100 + t * 10 + 7, 'sent from store ' || CAST(s AS STRING) || ' by way of sea', CAST(30 + 300 * t AS DOUBLE), CAST(1400 + 14 * n AS DOUBLE), CAST(250 AS DOUBLE), CAST(10 AS DOUBLE)
+FROM ({_ORDER_LINES}) AS a CROSS JOIN ({_SIDES}) AS b WHERE page_id % 6 < 4
+UNION ALL SELECT page_id, 10000000 + t * 10 + c, 'Column ' || substring('abcde', c + 1, 1), {_CELL_X}, CAST(425 + 2000 * t AS DOUBLE), CAST(60 AS DOUBLE), CAST(10 AS DOUBLE)
+FROM ({_ORDER_LINES}) AS a CROSS JOIN ({_SIDES}) AS b CROSS JOIN ({_COLUMNS}) AS k WHERE n = 1 AND (t = 0 OR page_id % 3 = 0) AND (c < 4 OR page_id % 4 = 3)
+UNION ALL SELECT page_id, 10000000 + t * 10 + 5, CASE WHEN page_id % 5 = 0 THEN 'TABLE 3 shows the lines' ELSE 'TABLE ' || CAST(t + 1 AS STRING) || '. Lines' END,
+  CAST(CASE WHEN page_id % 4 = 3 THEN 150 ELSE 30 END AS DOUBLE), CAST(405 + 2000 * t AS DOUBLE), CAST(100 AS DOUBLE), CAST(10 AS DOUBLE)
+FROM ({_ORDER_LINES}) AS a CROSS JOIN ({_SIDES}) AS b WHERE n = 1 AND (t = 0 OR page_id % 3 = 0)
+UNION ALL SELECT page_id, 10000008 + t, CASE t WHEN 0 THEN 'see' ELSE 'A title across both columns' END, CAST(CASE t WHEN 0 THEN 10 ELSE 100 END AS DOUBLE), CAST(CASE t WHEN 0 THEN 406 ELSE 10 END AS DOUBLE),
+  CAST(CASE t WHEN 0 THEN 15 ELSE 400 END AS DOUBLE), CAST(10 AS DOUBLE) FROM ({_ORDER_LINES}) AS a CROSS JOIN ({_SIDES}) AS b WHERE n = 1 AND ((t = 0 AND page_id % 7 = 0) OR (t = 1 AND page_id % 2 = 0))"""
+
 RELATIONS: dict[str, str | tuple[str, str]] = {
     "lines": LINES,
     "fragments": FRAGMENTS,
+    "page_tables": PAGE_TABLES,
     "regions": REGIONS,
     "edges": EDGES,
     "owned": OWNED,
