@@ -240,10 +240,57 @@ FROM ({_ORDER_LINES}) AS a CROSS JOIN ({_SIDES}) AS b WHERE n = 1 AND (t = 0 OR
 UNION ALL SELECT page_id, 10000008 + t, CASE t WHEN 0 THEN 'see' ELSE 'A title across both columns' END, CAST(CASE t WHEN 0 THEN 10 ELSE 100 END AS DOUBLE), CAST(CASE t WHEN 0 THEN 406 ELSE 10 END AS DOUBLE),
   CAST(CASE t WHEN 0 THEN 15 ELSE 400 END AS DOUBLE), CAST(10 AS DOUBLE) FROM ({_ORDER_LINES}) AS a CROSS JOIN ({_SIDES}) AS b WHERE n = 1 AND ((t = 0 AND page_id % 7 = 0) OR (t = 1 AND page_id % 2 = 0))"""
 
+_RULE_LINES = f"""SELECT *, count(*) OVER (PARTITION BY page_id) AS m FROM ({_ORDER_LINES}) AS o"""
+_ROW_AND_HEAD = "SELECT 0 AS k UNION ALL SELECT 1 AS k"
+_THREE = "SELECT 0 AS c UNION ALL SELECT 1 AS c UNION ALL SELECT 2 AS c"
+_FOUR = f"{_THREE} UNION ALL SELECT 3 AS c"
+_SECOND = "(t = 0 OR page_id % 3 = 0)"
+_TOP = "(100 + 3000 * t)"
+_RULED_FROM = f"({_RULE_LINES}) AS a CROSS JOIN ({_SIDES}) AS b"
+_STROKE_ENDS = "CAST({w} AS DOUBLE) AS width, CAST({h} AS DOUBLE) AS height, {op} AS operator_index, '{colour}' AS colour"
+
+
+def _stroke(number: str, axis: str, x: str, y: str, w: str, h: str, source: str, where: str, op: str = "100 + n", colour: str = "#000000") -> str:
+    return (
+        f"SELECT page_id, {number} AS stroke_id, '{axis}' AS axis, CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y, "
+        f"{_STROKE_ENDS.format(w=w, h=h, op=op, colour=colour)} FROM {source} WHERE {_SECOND} AND {where}"
+    )
+
+
+#: Ruled tables by line items: three columns, one row each and a header; sides are missing, broken or open on some pages.
+RULES = " UNION ALL ".join(
+    [
+        _stroke("n * 1000 + t * 100 + c", "h", "49.5 + 150 * c", f"{_TOP} + 20 * (n + 1) - 0.5", "151", "1", f"{_RULED_FROM} CROSS JOIN ({_THREE}) AS k",
+                "NOT (n < m AND p % 6 = 0 AND page_id % 8 <> 3 AND c = CASE WHEN page_id % 7 = 0 THEN 1 ELSE 0 END)"),
+        _stroke("n * 1000 + t * 100 + 10 + k", "h", "49.5", f"{_TOP} + 20 * k - 0.5", "451", "1", f"{_RULED_FROM} CROSS JOIN ({_ROW_AND_HEAD}) AS k", "n = 1"),
+        _stroke("n * 1000 + t * 100 + 20 + c", "v", "49.5 + 150 * c", f"{_TOP} + 20 * n - CASE WHEN page_id % 16 = 3 THEN 0 ELSE 0.5 END", "1", "CASE WHEN page_id % 5 = 1 AND n = 2 AND c = 1 THEN 8 ELSE 21 END", f"{_RULED_FROM} CROSS JOIN ({_FOUR}) AS k",
+                "NOT (c = 2 AND s % 10 = 0 AND page_id % 8 <> 3)"),
+        _stroke("n * 1000 + t * 100 + 30 + c", "v", "49.5 + 150 * c", f"{_TOP} + CASE WHEN page_id % 8 = 3 THEN 6 ELSE -0.5 END", "1", "CASE WHEN page_id % 8 = 3 THEN 14 ELSE 21 END", f"{_RULED_FROM} CROSS JOIN ({_THREE}) AS k", "n = 1 AND c > 0"),
+        _stroke("n * 1000 + t * 100 + 40 + k", "v", "49.5 + 450 * k", _TOP, "1", "20 * (m + 1)", f"{_RULED_FROM} CROSS JOIN ({_ROW_AND_HEAD}) AS k", "n = 1"),
+        _stroke("n * 1000 + t * 100 + 50", "h", "50", _TOP, "450", "20", _RULED_FROM, "n = 1 AND page_id % 8 = 3 AND page_id % 11 <> 5", "1", "#dddddd"),
+    ]
+)
+_HEAD_Y = f"{_TOP} + 8"
+RULED_TEXTS = f"""SELECT page_id, n * 1000 + t * 100 + c AS frag_id, CASE c WHEN 0 THEN r WHEN 1 THEN CAST(q AS STRING) ELSE CAST(e AS STRING) END AS text,
+  CAST(60 + 150 * c AS DOUBLE) AS x, CAST({_TOP} + 20 * n + 5 AS DOUBLE) AS y, CAST(CASE WHEN p % 45 = 0 AND c = 0 THEN 150 ELSE 40 END AS DOUBLE) AS width, CAST(10 AS DOUBLE) AS height
+FROM {_RULED_FROM} CROSS JOIN ({_THREE}) AS k WHERE {_SECOND}
+UNION ALL SELECT page_id, t * 100 + c, 'Head ' || substring('abc', c + 1, 1), CAST(60 + 150 * c AS DOUBLE), CAST({_HEAD_Y} - CASE WHEN page_id % 9 = 1 AND c = 2 THEN 1 ELSE 0 END AS DOUBLE), CAST(40 AS DOUBLE), CAST(10 AS DOUBLE)
+FROM {_RULED_FROM} CROSS JOIN ({_THREE}) AS k WHERE {_SECOND} AND n = 1
+UNION ALL SELECT page_id, t * 100 + 10, CASE WHEN page_id % 13 = 0 THEN 'TABLE 1 shows' ELSE 'TABLE ' || CAST(t + 1 AS STRING) END, CAST(60 AS DOUBLE), CAST({_TOP} - 25 AS DOUBLE), CAST(80 AS DOUBLE), CAST(10 AS DOUBLE)
+FROM {_RULED_FROM} WHERE {_SECOND} AND n = 1
+UNION ALL SELECT page_id, t * 100 + 11, 'beside', CAST(520 AS DOUBLE), CAST({_TOP} + 300 * (page_id % 2) AS DOUBLE), CAST(60 AS DOUBLE), CAST(10 AS DOUBLE)
+FROM {_RULED_FROM} WHERE t = 0 AND n = 1 AND page_id % 4 = 1"""
+RULED_PAGES = "SELECT l_orderkey AS page_id, CAST(640 AS DOUBLE) AS width, CAST(9000 AS DOUBLE) AS height, l_orderkey % 17 <> 0 AS complete FROM {lineitem} GROUP BY l_orderkey"
+RULED_IMAGES = f"""SELECT page_id, CAST(400 AS DOUBLE) AS x, CAST(60 + 60 * (n % 4) AS DOUBLE) AS y, CAST(50 AS DOUBLE) AS width, CAST(20 AS DOUBLE) AS height FROM ({_ORDER_LINES}) AS a WHERE p % 61 = 0"""
+
 RELATIONS: dict[str, str | tuple[str, str]] = {
     "lines": LINES,
     "fragments": FRAGMENTS,
     "page_tables": PAGE_TABLES,
+    "rules": RULES,
+    "ruled_texts": RULED_TEXTS,
+    "ruled_pages": RULED_PAGES,
+    "ruled_images": RULED_IMAGES,
     "regions": REGIONS,
     "edges": EDGES,
     "owned": OWNED,
