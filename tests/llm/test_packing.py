@@ -10,7 +10,6 @@ from twinfold.llm import packing
 from twinfold.llm.common import table
 
 JSON = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-JSON.encode_special_tokens = True
 
 
 def expected(texts, width):

@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinfold.llm.common import clean_text
+from twinfold.llm.common import clean_text, held
 from twinfold.session import cut_lineage
 
 WIDTH = 1024
 END_ID = 2
 WEIGHTS = (1.0, 0.05, 0.05)
+#: The added token of the default vocabulary, taken as one token where a text holds its literal.
+ADDED = {"<|endoftext|>": 50256}
 
 
 def ranks_path() -> tuple[str, str]:
@@ -46,14 +48,15 @@ def ranks_path() -> tuple[str, str]:
 
 def load_encoder(path: str, pattern: str):
     """The encoder of a rank file; kept for the life of the worker process."""
-    import tiktoken
 
-    held = vars(tiktoken).setdefault("_held_encoders", {})
-    if (path, pattern) not in held:
+    def build():
+        import tiktoken
+
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        held[path, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return held[path, pattern]
+        return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=ADDED)
+
+    return held(("ranks", path, pattern), build)
 
 
 def cut_pieces(docs: DataFrame, width: int = WIDTH, end_id: int = END_ID, tokenizer: tuple[str, str] | None = None) -> DataFrame:
@@ -74,7 +77,7 @@ def cut_pieces(docs: DataFrame, width: int = WIDTH, end_id: int = END_ID, tokeni
         for batch in batches:
             source, piece, start, length, crc, rank = [], [], [], [], [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
-                ids = np.concatenate([encoder.encode_to_numpy(text, disallowed_special=()).astype("<u4"), end])
+                ids = np.concatenate([encoder.encode_to_numpy(text, allowed_special="all").astype("<u4"), end])
                 stop = len(ids) % width or width
                 at = number = 0
                 while at < len(ids):
