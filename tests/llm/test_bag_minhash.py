@@ -99,3 +99,15 @@ def test_documents_of_a_table(spark, folder):
     docs = table(spark, folder, "documents")
     texts = [(r.doc_id, r.text) for r in docs.collect()]
     assert {r.doc_id: r.group_id for r in bag_minhash.near_documents(docs).collect()} == brute_groups(texts)
+
+
+def test_deduplicating_keeps_columns_named_as_inner_ones(make, words):
+    inner = ["_key", "_row", "kept", "uid", "print1", "band"]
+    text = " ".join(words(30))
+    docs = make([(4, text), (2, text), (7, "another text of some words"), (None, None)])
+    docs = docs.selectExpr("*", *[f"concat('{c}', coalesce(doc_id, 9)) AS {c}" for c in inner])
+    left = bag_minhash.deduplicate(docs)
+    assert left.columns == docs.columns
+    rows = {r.doc_id: r for r in left.collect()}
+    assert set(rows) == {2, 7, None}
+    assert all(rows[k][c] == f"{c}{9 if k is None else k}" for k in rows for c in inner)

@@ -79,3 +79,14 @@ def test_mask(make):
     assert (rows[1].text, rows[2].text, rows[3].text, rows[None].text) == ("clean", None, "k token=sametokenvalue1", "t [secret]")
     assert secrets.mask_secrets(make([])).count() == 0
     assert secrets.secret_report(make([])).count() == 0
+
+
+def test_masking_keeps_columns_named_as_inner_ones(make):
+    inner = ["live", "_id", "_print", "_new", "_p", "_row", "_key"]
+    docs = make([(0, "a password=abcdefghijklmn b", "a"), (1, "clean", "a"), (None, None, "b")])
+    docs = docs.selectExpr("*", *[f"concat('{c}', coalesce(doc_id, 9)) AS {c}" for c in inner])
+    masked = secrets.mask_secrets(docs)
+    assert masked.columns == docs.columns
+    rows = {r.doc_id: r for r in masked.collect()}
+    assert [rows[k].text for k in (0, 1, None)] == ["a [secret] b", "clean", None]
+    assert all(rows[k][c] == f"{c}{9 if k is None else k}" for k in rows for c in inner)

@@ -302,5 +302,6 @@ def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """The documents that stay, with all their columns; rows alike in id and text are one document."""
     stays = near_documents(docs, **options).where("kept").select(F.col("key").alias("_key")).distinct()
-    marked = docs.withColumn("_key", F.xxhash64("doc_id", clean_text()))
-    return marked.join(stays.hint("shuffle_hash"), "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    # the row travels as one struct, so its column names cannot clash with the key's
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64("doc_id", clean_text()).alias("_key"))
+    return marked.join(stays.hint("shuffle_hash"), "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")

@@ -196,12 +196,14 @@ def mask_secrets(docs: DataFrame, mask: str = "[secret]", text_col: str = "text"
         .select(F.col(id_col).alias("_id"), F.col("_print").alias("_p"), "live")
         .dropDuplicates(["_id", "_p"])
     )
-    print_ = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    joined = docs.withColumn("_print", print_).join(
-        found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_p")), "left"
+    # the row travels as one struct, so its column names cannot clash with those joined to it
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_print")
     )
-    changed = joined.withColumn("_new", F.when(F.col("live").isNull(), F.col(text_col)).otherwise(_cut(F.col(text_col), F.col("live"), mask)))
-    out = {text_col: F.col("_new")}
+    row = F.col("_row")
+    joined = packed.join(found, row[id_col].eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_p")), "left")
+    changed = joined.withColumn("_new", F.when(F.col("live").isNull(), row[text_col]).otherwise(_cut(row[text_col], F.col("live"), mask)))
+    out = {c: row[c] for c in docs.columns} | {text_col: F.col("_new")}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("live").isNull(), F.col("n_chars")).otherwise(F.char_length("_new").cast("bigint"))
-    return changed.withColumns(out).select(docs.columns)
+        out["n_chars"] = F.when(F.col("live").isNull(), row["n_chars"]).otherwise(F.char_length("_new").cast("bigint"))
+    return changed.select(*[value.alias(c) for c, value in out.items()])
