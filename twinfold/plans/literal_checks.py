@@ -313,7 +313,6 @@ _CHANGED = (
 _LISTED = (
     f"list_transform({_CHANGED}, lambda k: k || ' (source ' || {_N.format('sk')} || ', draft ' || {_N.format('dk')} || ')')"
 )
-_TAIL = "Automated checks are limited; independent medical and linguistic review is still required."
 
 
 @query(
@@ -321,13 +320,13 @@ _TAIL = "Automated checks are limited; independent medical and linguistic review
     _GATE
     + f""", cd AS MATERIALIZED (SELECT pair_id, {q.code_tokens('source')} AS scs, {q.code_tokens('draft')} AS dcs FROM p)
     SELECT pair_id, lang, array_to_string(list_filter([
-      CASE WHEN len({_MISSING}) > 0 THEN 'Source number format not found exactly in draft: ' || array_to_string({_MISSING}, ', ') || '. Review numeric fidelity.' END,
-      CASE WHEN ok AND {q.differs('sk', 'dk')} THEN 'Numeric value/count mismatch: ' || array_to_string({_LISTED}, '; ') || '. Check omissions, additions and substitutions.' END,
-      CASE WHEN NOT ok THEN 'Scientific numeric comparison is not assessed; review exponent notation and values manually.' END,
-      CASE WHEN lang = 'ko' AND regexp_matches({q.words('source')}, '(?i)\\bproximal\\b') AND contains(draft, '원위') AND NOT contains(draft, '근위') THEN 'Possible proximal-to-distal directional mismatch; human review required.' END,
-      CASE WHEN {_TERM_SEEN} AND NOT regexp_matches(draft, '(?:대퇴|넙다리)\\s*정맥') THEN 'Source femoral vein is not identifiable in the Korean draft; review anatomical terminology.' END,
-      CASE WHEN lang IN ('ko', 'ar') AND regexp_matches({q.words('draft')}, '(?i)\\b(?:proximal|distal)\\b') THEN 'Untranslated English directional term remains; human review required.' END,
-      CASE WHEN {q.differs('scs', 'dcs')} THEN '{checks.MESSAGES["identifier"]}' END, '{_TAIL}'], lambda x: x IS NOT NULL), ' ') AS summary
+      CASE WHEN len({_MISSING}) > 0 THEN '{checks.SENTENCES["missing"][0]}' || array_to_string({_MISSING}, ', ') || '{checks.SENTENCES["missing"][1]}' END,
+      CASE WHEN ok AND {q.differs('sk', 'dk')} THEN '{checks.SENTENCES["changed"][0]}' || array_to_string({_LISTED}, '; ') || '{checks.SENTENCES["changed"][1]}' END,
+      CASE WHEN NOT ok THEN '{checks.SENTENCES["powers"]}' END,
+      CASE WHEN lang = 'ko' AND regexp_matches({q.words('source')}, '(?i)\\bproximal\\b') AND contains(draft, '원위') AND NOT contains(draft, '근위') THEN '{checks.SENTENCES["direction"]}' END,
+      CASE WHEN {_TERM_SEEN} AND NOT regexp_matches(draft, '(?:대퇴|넙다리)\\s*정맥') THEN '{checks.SENTENCES["vein"]}' END,
+      CASE WHEN lang IN ('ko', 'ar') AND regexp_matches({q.words('draft')}, '(?i)\\b(?:proximal|distal)\\b') THEN '{checks.SENTENCES["english"]}' END,
+      CASE WHEN {q.differs('scs', 'dcs')} THEN '{checks.MESSAGES["identifier"]}' END, '{checks.SENTENCES["end"]}'], lambda x: x IS NOT NULL), ' ') AS summary
     FROM g JOIN cd USING (pair_id)""",
 )
 def summary_text(spark, folder):
