@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("literal_checks", "scoring", "spending", "structure", "boxes", "rows", "pages", "reading", "ruled", "streams", "sides", "evidence")
+FAMILIES = ("literal_checks", "scoring", "spending", "structure", "boxes", "rows", "pages", "reading", "ruled", "scaffold", "streams", "sides", "evidence")
 
 
 def _modules():

@@ -283,6 +283,33 @@ FROM {_RULED_FROM} WHERE t = 0 AND n = 1 AND page_id % 4 = 1"""
 RULED_PAGES = "SELECT l_orderkey AS page_id, CAST(640 AS DOUBLE) AS width, CAST(9000 AS DOUBLE) AS height, l_orderkey % 17 <> 0 AS complete FROM {lineitem} GROUP BY l_orderkey"
 RULED_IMAGES = f"""SELECT page_id, CAST(400 AS DOUBLE) AS x, CAST(60 + 60 * (n % 4) AS DOUBLE) AS y, CAST(50 AS DOUBLE) AS width, CAST(20 AS DOUBLE) AS height FROM ({_ORDER_LINES}) AS a WHERE p % 61 = 0"""
 
+_SPACED = "CASE WHEN page_id % 8 = 1 THEN 40 ELSE 20 END"
+_TWO_OR_THREE = "(c < 2 OR page_id % 4 <> 1)"
+_BAND_AT = f"{_TOP} + CASE k WHEN 0 THEN 0 WHEN 1 THEN 20 ELSE CASE WHEN page_id % 16 = 1 THEN 61 ELSE 42 END + {_SPACED} * (m - 1) END"
+_BANDS = "SELECT 0 AS k UNION ALL SELECT 1 AS k UNION ALL SELECT 2 AS k"
+#: Tables between three level rules cut into two or three parts, one row a line item; rules are missing, moved or one too many on some pages.
+SCAFFOLD_RULES = " UNION ALL ".join(
+    [
+        _stroke("t * 100 + k * 10 + c", "h", "50 + 150 * c + CASE WHEN page_id % 11 = 4 AND k = 2 AND c = 1 THEN 2 ELSE 0 END", f"{_BAND_AT} - 0.5 + CASE WHEN page_id % 9 = 2 AND c = 1 THEN 0.25 ELSE 0 END",
+                "150", "1", f"{_RULED_FROM} CROSS JOIN ({_THREE}) AS j CROSS JOIN ({_BANDS}) AS b3", f"n = 1 AND {_TWO_OR_THREE} AND NOT (page_id % 7 = 3 AND k = 1 AND c = 1)", "100 + k * 10 + c"),
+        _stroke("t * 100 + 50", "h", "50", f"{_TOP} - 8.5", "450", "1", _RULED_FROM, "n = 1 AND page_id % 23 = 0", "90"),
+    ]
+)
+#: Their texts: ``part`` 0 caption, 1 body, 2 text of no line.
+SCAFFOLD_TEXTS = f"""SELECT page_id, t AS region_id, n * 1000 + t * 100 + c AS frag_id, 1 AS part,
+  CASE c WHEN 0 THEN CASE WHEN p % 37 = 0 THEN '12' ELSE r END WHEN 1 THEN CASE WHEN p % 29 = 0 THEN 'n/a' ELSE CAST(q AS STRING) END ELSE CAST(e AS STRING) END AS text,
+  CAST(50 + 150 * c + CASE WHEN s % 19 = 0 THEN 20 ELSE 0 END AS DOUBLE) AS x, CAST({_TOP} + 26 + {_SPACED} * (n - 1) + CASE WHEN s % 8 = 0 AND c = 1 THEN 0.25 ELSE 0 END AS DOUBLE) AS y,
+  CAST(CASE WHEN p % 43 = 0 THEN 140 ELSE 40 END AS DOUBLE) AS width, CAST(10 AS DOUBLE) AS height
+FROM {_RULED_FROM} CROSS JOIN ({_THREE}) AS j WHERE {_SECOND} AND {_TWO_OR_THREE} AND NOT (c = 0 AND p % 5 = 0 AND page_id % 4 <> 1)
+UNION ALL SELECT page_id, t, n * 1000 + t * 100 + 10, 1, 'lot', CAST(100 AS DOUBLE), CAST({_TOP} + 26 + {_SPACED} * (n - 1) AS DOUBLE), CAST(30 AS DOUBLE), CAST(10 AS DOUBLE)
+FROM {_RULED_FROM} WHERE {_SECOND} AND s % 6 = 0 AND p % 43 <> 0 AND s % 19 <> 0
+UNION ALL SELECT page_id, t, t * 100 + c, 1, CASE WHEN page_id % 13 = 5 AND c = 1 THEN '2020' ELSE 'Head ' || substring('abc', c + 1, 1) END, CAST(50 + 150 * c AS DOUBLE), CAST({_TOP} + 6 AS DOUBLE), CAST(40 AS DOUBLE), CAST(10 AS DOUBLE)
+FROM {_RULED_FROM} CROSS JOIN ({_THREE}) AS j WHERE {_SECOND} AND {_TWO_OR_THREE} AND n = 1
+UNION ALL SELECT page_id, t, t * 100 + 20, 0, CASE WHEN page_id % 17 = 1 THEN 'TABLE 1 shows' ELSE 'TABLE ' || CAST(t + 1 AS STRING) END, CAST(CASE WHEN page_id % 19 = 1 THEN 40 ELSE 60 END AS DOUBLE), CAST({_TOP} - 25 AS DOUBLE), CAST(80 AS DOUBLE), CAST(10 AS DOUBLE)
+FROM {_RULED_FROM} WHERE {_SECOND} AND n = 1
+UNION ALL SELECT page_id, t, 30, 2, 'beside', CAST(CASE WHEN page_id % 10 = 3 THEN 520 ELSE 240 END AS DOUBLE), CAST({_TOP} + 22 AS DOUBLE), CAST(60 AS DOUBLE), CAST(3 AS DOUBLE)
+FROM {_RULED_FROM} WHERE t = 0 AND n = 1 AND page_id % 10 IN (3, 7)"""
+
 RELATIONS: dict[str, str | tuple[str, str]] = {
     "lines": LINES,
     "fragments": FRAGMENTS,
@@ -291,6 +318,8 @@ RELATIONS: dict[str, str | tuple[str, str]] = {
     "ruled_texts": RULED_TEXTS,
     "ruled_pages": RULED_PAGES,
     "ruled_images": RULED_IMAGES,
+    "scaffold_rules": SCAFFOLD_RULES,
+    "scaffold_texts": SCAFFOLD_TEXTS,
     "regions": REGIONS,
     "edges": EDGES,
     "owned": OWNED,
