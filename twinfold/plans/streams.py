@@ -63,12 +63,34 @@ def global_rate_limit(spark, folder):
 
 
 @query(
-    "bounded_clients",
+    "hourly_clients",
     _R
     + " SELECT budget_id, CAST(floor(at_us / 3600000000.0) AS BIGINT) AS hour, count(DISTINCT client_id) AS clients, count(DISTINCT client_id) > 4 AS refuses_new FROM r GROUP BY ALL",
 )
+def hourly_clients(spark, folder):
+    return st.hourly_clients(requests(spark, folder), 4)
+
+
+CLIENT_CAP = 3
+
+
+@query(
+    "bounded_clients",
+    _R
+    + f""", o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY budget_id ORDER BY at_us, request_id) AS n FROM r),
+    w(budget_id, n, request_id, m, allowed, refused_full) AS (
+      SELECT DISTINCT budget_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS STRUCT(c BIGINT, s BIGINT, k INTEGER)[]), false, false FROM o
+      UNION ALL SELECT budget_id, n, request_id, CASE WHEN NOT refuses AND cnt < {st.PER_CLIENT} THEN list_filter(base, lambda x: x.c <> client_id) || [{{'c': client_id, 's': CASE WHEN cnt = 0 THEN at_us ELSE mine.s END, 'k': cnt + 1}}] ELSE base END,
+        NOT refuses AND cnt < {st.PER_CLIENT}, refuses
+      FROM (SELECT *, NOT known AND len(base) >= {CLIENT_CAP} AS refuses, CASE WHEN mine IS NULL OR at_us - mine.s >= 3600000000 THEN 0 ELSE mine.k END AS cnt
+        FROM (SELECT *, list_filter(base, lambda x: x.c = client_id)[1] AS mine
+          FROM (SELECT o.budget_id, o.n, o.request_id, o.client_id, o.at_us, len(list_filter(w.m, lambda x: x.c = o.client_id)) > 0 AS known,
+              CASE WHEN len(list_filter(w.m, lambda x: x.c = o.client_id)) = 0 AND len(w.m) >= {CLIENT_CAP} THEN list_filter(w.m, lambda x: o.at_us - x.s < 3600000000) ELSE w.m END AS base
+            FROM w JOIN o ON o.budget_id = w.budget_id AND o.n = w.n + 1))))
+    SELECT request_id, allowed, refused_full, CAST(len(m) AS INTEGER) AS tracked FROM w WHERE n > 0""",
+)
 def bounded_clients(spark, folder):
-    return st.bounded_clients(requests(spark, folder), 4)
+    return st.bounded_clients(requests(spark, folder), ["request_id"], CLIENT_CAP)
 
 
 _KIND = {"signup": "reserve", "view": "start", "click": "observe", "purchase": "accept", "error": "fail"}
