@@ -31,9 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinfold.llm.common import Rolling, batch_words, clean_text, flat, mix64, pieces, ragged
+from twinfold.llm.common import Rolling, Scratch, batch_words, clean_text, flat, mix64, pieces, ragged
 from twinfold.operators.graph import components
-from twinfold.session import cut_lineage
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -41,7 +40,6 @@ BANDS = 24
 ROWS = 4
 BLOCK_ROWS = 512
 BLOCK_BYTES = 4_000_000
-SHARED = 1024
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _OCTAVE = np.uint64(0xA0761D6478BD642F)
 
@@ -163,23 +161,24 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFra
     return held.mapInArrow(run, "a long, b long, similarity double")
 
 
-def compared(groups: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
+def compared(scratch: Scratch, groups: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
     """``(a, b)``: all links between members of different components of a group; ``groups`` is (grp, cid, component).
 
     A group is dealt into blocks of bounded rows and bytes, and each pair of blocks is one small task that multiplies
-    the members' shingle sets; small groups share tasks. Only links are emitted.
+    the members' shingle sets; groups of one block share tasks, as many as their bytes ask for. Rows are dealt by key and
+    meet their texts last. Only links are emitted.
     """
-    held = groups.join(texts.select(F.col("key").alias("cid"), "text", F.octet_length("text").alias("_bytes")), "cid")
-    weight = groups.join(texts.select(F.col("key").alias("cid"), F.octet_length("text").alias("_bytes")), "cid")
-    blocks = weight.groupBy("grp").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("_bytes") / BLOCK_BYTES)).cast("int").alias("_blocks")
-    )
-    dealt = held.join(blocks, "grp").withColumn("_own", F.pmod(F.xxhash64("cid"), F.col("_blocks")).cast("int"))
+    weight = groups.join(texts.select(F.col("key").alias("cid"), "n_bytes"), "cid").groupBy("grp").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("n_bytes"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("n_bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
+    blocks = scratch.keep("blocks", weight.select("grp", blocks.alias("_blocks"), "n_bytes"))
+    alone = blocks.where("_blocks = 1").agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    shared = 2 * (alone // BLOCK_BYTES + 1)
+    dealt = groups.join(blocks.select("grp", "_blocks"), "grp").withColumn("_own", F.pmod(F.xxhash64("cid"), F.col("_blocks")).cast("int"))
     paired = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumns(
         {"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")}
     )
-    # groups of one block are dealt to shared tasks, many to one
-    task = F.when(F.col("_blocks") > 1, F.xxhash64("grp", "_i", "_j")).otherwise(F.pmod(F.xxhash64("grp"), F.lit(SHARED)))
+    task = F.when(F.col("_blocks") > 1, F.xxhash64("grp", "_i", "_j")).otherwise(F.pmod(F.xxhash64("grp"), F.lit(shared)))
+    paired = paired.select("grp", "cid", "component", "_own", "_i", "_j", task.alias("_task")).join(texts.select(F.col("key").alias("cid"), "text"), "cid")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rolling, out = Rolling(), [np.zeros((0, 2), np.int64)]
@@ -188,12 +187,7 @@ def compared(groups: DataFrame, texts: DataFrame, threshold: float = THRESHOLD,
                 out.append(links_within(rolling, one, threshold, size))
         return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
 
-    found = (
-        paired.select("grp", "cid", "component", "text", "_own", "_i", "_j", task.alias("_task"))
-        .groupBy("_task")
-        .applyInPandas(run, "a long, b long")
-    )
-    return distinct_pairs(found)
+    return distinct_pairs(paired.groupBy("_task").applyInPandas(run, "a long, b long"))
 
 
 def links_within(rolling: Rolling, rows: pd.DataFrame, threshold: float, size: int) -> np.ndarray:
@@ -233,12 +227,12 @@ def distinct_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """``(key, text)`` of the given keys, one row each."""
+    """``(key, text, n_bytes)`` of the given keys, one row each."""
     wanted = keyed(docs).select("key", "text").join(keys.distinct().hint("shuffle_hash"), "key", "left_semi")
-    return cut_lineage(wanted.groupBy("key").agg(F.max("text").alias("text")))
+    return wanted.groupBy("key").agg(F.max("text").alias("text")).withColumn("n_bytes", F.octet_length("text"))
 
 
-def bucket_links(docs: DataFrame, members: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+def bucket_links(scratch: Scratch, docs: DataFrame, members: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """Nodes and links that join all members (bucket, cid) whose texts are similar and share a bucket.
 
     Every bucket's chosen member is compared with the others, and links give components. Distances obey the triangle
@@ -253,33 +247,38 @@ def bucket_links(docs: DataFrame, members: DataFrame, threshold: float = THRESHO
         .where("_n > 1")
         .select("bucket", F.col("one.cid").alias("a"))
     )
-    starred = cut_lineage(members.join(chosen, "bucket").select("bucket", "a", F.col("cid").alias("b")))
-    texts = texts_of(docs, starred.select(F.col("b").alias("key")))
-    tested = cut_lineage(verified(distinct_pairs(starred.where("a <> b")), texts, size))
+    starred = scratch.keep("starred", members.join(chosen, "bucket").select("bucket", "a", F.col("cid").alias("b")))
+    texts = scratch.keep("texts", texts_of(docs, starred.select(F.col("b").alias("key"))))
+    tested = scratch.keep("tested", verified(distinct_pairs(starred.where("a <> b")), texts, size))
     links = tested.where(F.col("similarity") >= threshold).select("a", "b")
-    nodes = starred.select("b").distinct().select(F.lit(0).alias("g"), F.col("b").alias("cid"))
-    joined = cut_lineage(_components(nodes, links))
+    nodes = scratch.keep("nodes", starred.select("b").distinct().select(F.lit(0).alias("g"), F.col("b").alias("cid")))
+    joined = scratch.keep("joined", _components(nodes, links))
     distance = 1 - F.col("similarity")
     near_by = tested.where(distance <= 3 * near + 1e-9)
     kin = near_by.select(F.col("a").alias("grp"), F.col("b").alias("cid")).unionByName(near_by.select(F.col("a").alias("grp"), F.col("a").alias("cid")).distinct())
     far = starred.join(tested.where(distance > 2 * near - 1e-9).select("a", "b"), ["a", "b"]).select(F.col("bucket").alias("grp"), F.col("b").alias("cid"))
-    placed = cut_lineage(kin.unionByName(far).join(joined, "cid"))
+    placed = scratch.keep("placed", kin.unionByName(far).join(joined, "cid"))
+    scratch.drop("starred", "joined")
     mixed = placed.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("grp")
-    more = compared(placed.join(mixed, "grp"), texts, threshold, size)
-    return nodes, cut_lineage(links.unionByName(more))
+    more = compared(scratch, placed.join(mixed, "grp"), texts, threshold, size)
+    links = scratch.keep("links", links.unionByName(more))
+    scratch.drop("texts", "tested", "placed", "blocks")
+    return nodes, links
 
 
 def near_documents(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
     """One row per document: ``key``, ``group_id`` (the least id of its group) and whether it is the one that stays."""
-    signed = cut_lineage(sign(docs, bands, rows, size).withColumn("uid", F.monotonically_increasing_id()))
+    scratch = Scratch(docs.sparkSession)
+    signed = scratch.keep("signed", sign(docs, bands, rows, size).withColumn("uid", F.monotonically_increasing_id()))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "uid")
-    classes = cut_lineage(
+    classes = scratch.keep(
+        "classes",
         signed.where("n_shingles > 0")
         .groupBy("print1", "print2")
         .agg(F.min(order).alias("least"), F.first("bands").alias("bands"))
-        .withColumn("cid", F.col("least.key"))
+        .withColumn("cid", F.col("least.key")),
     )
-    nodes, links = bucket_links(docs, classes.select("cid", F.explode("bands").alias("bucket")), threshold, size)
+    nodes, links = bucket_links(scratch, docs, classes.select("cid", F.explode("bands").alias("bucket")), threshold, size)
     member = classes.select("print1", "print2", "least", "cid").join(_components(nodes, links), "cid", "left")
     member = member.withColumn("component", F.coalesce("component", "cid"))
     best = member.groupBy("component").agg(F.min("least").alias("best"))

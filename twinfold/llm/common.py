@@ -7,12 +7,15 @@ from __future__ import annotations
 
 import sys
 import types
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinfold.session import ensure_checkpoint_dir
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
@@ -21,6 +24,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Scratch:
+    """Intermediate tables of one job as Parquet in the shared folder of the session.
+
+    They cut lineage as a checkpoint does, take less disk, and can be dropped as soon as nothing reads them any more. A
+    table that is still read must not be dropped: a lost executor reads it again.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        ensure_checkpoint_dir(spark)
+        self._spark = spark
+        self._folder = f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4()}"
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{self._folder}/{name}")
+        return self._spark.read.schema(df.schema).parquet(f"{self._folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        context = self._spark.sparkContext
+        for name in names:
+            path = context._jvm.org.apache.hadoop.fs.Path(f"{self._folder}/{name}")
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clean_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
