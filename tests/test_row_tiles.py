@@ -43,3 +43,16 @@ def test_lines_deal_fragments_once(spark):
     df = spark.createDataFrame(_page(1, 50, 20.0, 0.3, random.Random(1)), SCHEMA)
     plan = la.line_text(la.group_rows(df))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_gutters_take_few_shuffles(spark):
+    df = spark.createDataFrame(_page(1, 50, 20.0, 0.3, random.Random(1)), SCHEMA)
+    plan = la.find_gutter(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") < 80
+
+
+def test_one_column_pages_are_dealt_for_rows_and_for_numbers(spark):
+    df = spark.createDataFrame(_page(1, 50, 20.0, 0.3, random.Random(1)), SCHEMA)
+    none = spark.createDataFrame([], "page_id bigint, cut double")
+    plan = la.reading_order(df, none)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") < 12
