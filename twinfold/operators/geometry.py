@@ -157,73 +157,90 @@ def panel_ownership(fragments: DataFrame, panels: DataFrame, insets: DataFrame)
     ``main``, ``glossary`` or ``outside``; ``reject`` marks text that meets an
     inset without lying in it, lies in two panels or stands beside a panel.
     """
-    boxes = fragments.select("page_id", "frag_id", "x", "y", "width", "height")
-    owner = (
-        contained_in(boxes, panels)
-        .groupBy("page_id", F.col("i_frag_id").alias("frag_id"))
-        .agg(F.count("*").alias("owners"), F.min("o_panel").alias("panel"))
-    )
-    beside = (
-        touching(boxes.withColumns({"x": F.lit(0.0), "width": F.lit(1.0)}), panels.withColumns({"x": F.lit(0.0), "width": F.lit(1.0)}), relation=crosses)
-        .select("page_id", F.col("l_frag_id").alias("frag_id"))
-        .distinct()
-        .withColumn("beside", F.lit(True))
-    )
-    inside = contained_in(boxes, insets).select("page_id", F.col("i_frag_id").alias("frag_id"), F.col("o_panel").alias("panel")).distinct().withColumn("aside", F.lit(True))
-    meets = touching(boxes, insets, relation=crosses).select("page_id", F.col("l_frag_id").alias("frag_id"), F.col("r_panel").alias("panel")).distinct().withColumn("meets", F.lit(True))
-    joined = (
-        fragments.join(owner, ["page_id", "frag_id"], "left")
-        .join(beside, ["page_id", "frag_id"], "left")
-        .join(inside, ["page_id", "frag_id", "panel"], "left")
-        .join(meets, ["page_id", "frag_id", "panel"], "left")
-    )
+    box = ("x", "y", "width", "height")
+    held = panels.select("page_id", "panel", *[F.col(c).alias(f"p_{c}") for c in box])
+    aside = insets.select("page_id", "panel", *[F.col(c).alias(f"i_{c}") for c in box]).join(held, ["page_id", "panel"])
+    marks = held.withColumn("_inset", F.lit(False)).unionByName(aside.withColumn("_inset", F.lit(True)), allowMissingColumns=True)
+    top, bottom = F.coalesce("i_y", "p_y"), F.coalesce(F.col("i_y") + F.col("i_height"), F.col("p_y") + F.col("p_height"))
+    inset, inside, at = F.col("_inset"), contains("p_", ""), _tile(F.col("y"), TILE)
+
+    def facts(items: DataFrame, marks: DataFrame, by: list[str]) -> DataFrame:
+        home = F.col("_ty") == at
+        return items.join(marks, ["page_id", "_ty"], "left").groupBy(*by).agg(
+            F.count_if(~inset & inside & home).alias("_owners"),
+            F.min(F.when(~inset & inside, F.col("panel"))).alias("panel"),
+            F.bool_or(~inset & F.expr("y < p_y + p_height and y + height > p_y")).alias("_beside"),
+            F.bool_or(inset & inside & contains("i_", "")).alias("_aside"),
+            F.bool_or(inset & inside & crosses("i_", "")).alias("_meets"),
+        )
+
+    # A fragment lower than a tile finds all it can meet in the tile of its top, as marks reach one tile up; its rows are
+    # then together after the join. Taller ones are repeated over their tiles.
+    short = F.coalesce(F.col("height") <= TILE, F.lit(False))
+    reach = marks.withColumn("_ty", F.explode(F.sequence(_tile(top - TILE, TILE), _tile(bottom, TILE))))
+    touched = marks.withColumn("_ty", F.explode(F.sequence(_tile(top, TILE), _tile(bottom, TILE))))
+    tiles = F.sequence(at, _tile(F.col("y") + F.col("height"), TILE))
+    low = facts(fragments.where(short).withColumn("_ty", at), reach, [*fragments.columns, "_ty"]).drop("_ty")
+    tall = facts(fragments.where(~short).withColumn("_ty", F.explode_outer(tiles)), touched, fragments.columns)
+    found = low.unionByName(tall)
     role = (
-        F.when(F.col("owners") > 1, "reject")
-        .when(F.col("owners").isNull(), F.when(F.col("beside"), "reject").otherwise("outside"))
-        .when(F.col("aside"), "glossary")
-        .when(F.col("meets"), "reject")
+        F.when(F.col("_owners") > 1, "reject")
+        .when(F.col("_owners") == 0, F.when(F.col("_beside"), "reject").otherwise("outside"))
+        .when(F.col("_aside"), "glossary")
+        .when(F.col("_meets"), "reject")
         .otherwise("main")
     )
-    return joined.select(*[c for c in fragments.columns], "panel", role.alias("role"))
+    return found.select(*fragments.columns, "panel", role.alias("role"))
+
+
+def guard_marks(fragments: DataFrame) -> DataFrame:
+    """Fragments with what the panel guards ask of their text in place of the text."""
+    trimmed = F.trim("text")
+    return fragments.withColumns(
+        {
+            "wordy": F.size(F.split(trimmed, r"\s+")) >= 6,
+            "titled": trimmed == GLOSSARY_TITLE,
+            "question": trimmed.rlike(QUESTION),
+            "other": F.col("text").rlike(NOT_PROSE),
+        }
+    ).drop("text")
 
 
 def panel_guards(owned: DataFrame, panels: DataFrame, insets: DataFrame, page_width: float) -> DataFrame:
-    """Pages whose panel reading is acceptable, after the content guards."""
-    words = F.size(F.split(F.trim("text"), r"\s+"))
+    """Pages whose panel reading is acceptable, after the content guards; ``owned`` has texts or their ``guard_marks``."""
+    marked = guard_marks(owned) if "text" in owned.columns else owned
     inset_y = insets.select("page_id", "panel", F.col("y").alias("inset_y"))
     frame = panels.select("page_id", "panel", F.col("y").alias("panel_y")).join(inset_y, ["page_id", "panel"])
-    joined = owned.join(frame, ["page_id", "panel"], "left")
-    prose = (F.col("role") == "main") & (F.col("width") > page_width * 0.12) & (words >= 6)
-    title = (F.col("role") == "glossary") & (F.trim("text") == GLOSSARY_TITLE)
-    per_panel = (
-        joined.where("panel is not null")
-        .groupBy("page_id", "panel")
-        .agg(
-            F.min_by("text", F.when(F.col("role") == "main", F.struct("y", "x"))).alias("first_text"),
-            F.min(F.when(F.col("role") == "main", F.col("y") - F.col("panel_y"))).alias("first_gap"),
-            F.count_if(prose).alias("prose"),
-            F.count_if(F.col("role") == "glossary").alias("aside"),
-            F.count_if(title).alias("titles"),
-            F.max(F.when(title, F.col("y") - F.col("inset_y"))).alias("title_gap"),
-            F.count_if(F.col("text").rlike(NOT_PROSE)).alias("other"),
-        )
+    frame = frame.groupBy("page_id", "panel").agg(F.count("*").alias("frames"), F.min("panel_y").alias("panel_y"), F.min("inset_y").alias("inset_y"))
+    main = F.col("role") == "main"
+    prose = main & (F.col("width") > page_width * 0.12) & F.col("wordy")
+    title = (F.col("role") == "glossary") & F.col("titled")
+    # Text outside all panels makes one more group of a page, which has no guards of its own.
+    per_panel = marked.groupBy("page_id", "panel").agg(
+        F.min_by("question", F.when(main, F.struct("y", "x"))).alias("question"),
+        F.min(F.when(main, F.col("y"))).alias("first_y"),
+        F.count_if(prose).alias("prose"),
+        F.count_if(F.col("role") == "glossary").alias("aside"),
+        F.count_if(title).alias("titles"),
+        F.max(F.when(title, F.col("y"))).alias("title_y"),
+        F.count_if(F.col("other")).alias("other"),
+        F.bool_or(F.col("role") == "reject").alias("rejected"),
     )
     ok = (
-        (F.col("first_gap") <= 40)
-        & F.trim("first_text").rlike(QUESTION)
+        (F.col("frames") == 1)
+        & (F.col("first_y") - F.col("panel_y") <= 40)
+        & F.col("question")
         & (F.col("prose") >= 4)
         & (F.col("titles") == 1)
-        & (F.col("title_gap") <= 40)
+        & (F.col("title_y") - F.col("inset_y") <= 40)
         & (F.col("aside") >= 4)
         & (F.col("other") == 0)
     )
-    guard = per_panel.groupBy("page_id").agg(F.bool_and(F.coalesce(ok, F.lit(False))).alias("content_ok"), F.count("*").alias("panels"))
-    rejected = owned.groupBy("page_id").agg(F.bool_or(F.col("role") == "reject").alias("rejected"))
-    return rejected.join(guard, "page_id", "left").select(
-        "page_id",
-        F.coalesce("panels", F.lit(0).cast("bigint")).alias("panels"),
-        (~F.col("rejected") & F.coalesce("content_ok", F.lit(False))).alias("accepted"),
+    held = F.col("panel").isNotNull()
+    guard = per_panel.join(frame, ["page_id", "panel"], "left").groupBy("page_id").agg(
+        F.bool_or("rejected").alias("rejected"), F.bool_and(F.when(held, F.coalesce(ok, F.lit(False)))).alias("content_ok"), F.count_if(held).alias("panels")
     )
+    return guard.select("page_id", "panels", (~F.col("rejected") & F.coalesce("content_ok", F.lit(False))).alias("accepted"))
 
 
 def raster_overlap(regions: DataFrame, images: DataFrame, pages: DataFrame) -> DataFrame:

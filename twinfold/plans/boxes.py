@@ -129,7 +129,7 @@ _PANEL = f"""WITH {_F}, {_R}, p AS (SELECT page_id, seq AS panel, 0.0 AS x, y, 6
 @query("panel_ownership", _PANEL + " SELECT page_id, panel, role, count(*) AS fragments FROM k GROUP BY ALL")
 def panel_ownership(spark, folder):
     panels, insets = _panels(spark, folder)
-    owned = ge.panel_ownership(fragments(spark, folder), panels, insets)
+    owned = ge.panel_ownership(fragments(spark, folder).select("page_id", "frag_id", "x", "y", "width", "height"), panels, insets)
     return owned.groupBy("page_id", "panel", "role").agg(F.count("*").alias("fragments"))
 
 
@@ -140,7 +140,7 @@ def panel_ownership(spark, folder):
 )
 def panel_guards(spark, folder):
     panels, insets = _panels(spark, folder)
-    owned = ge.panel_ownership(fragments(spark, folder), panels, insets)
+    owned = ge.panel_ownership(ge.guard_marks(fragments(spark, folder)), panels, insets)
     return ge.panel_guards(owned, panels, insets, 620.0)
 
 
