@@ -111,3 +111,19 @@ def test_deduplicating_keeps_columns_named_as_inner_ones(make, words):
     rows = {r.doc_id: r for r in left.collect()}
     assert set(rows) == {2, 7, None}
     assert all(rows[k][c] == f"{c}{9 if k is None else k}" for k in rows for c in inner)
+
+
+def test_near_copies_of_one_text_meet_few_times(make, monkeypatch):
+    rng = random.Random(3)
+    base = " ".join(f"w{rng.randrange(400)}" for _ in range(300))
+    texts = list(enumerate([edited(rng, base, 2) for _ in range(60)] + [edited(rng, base, 20) for _ in range(3)]))
+    compared, rows = bag_minhash.compared, []
+
+    def counted(scratch, groups, *rest):
+        rows.append(groups.count())
+        return compared(scratch, groups, *rest)
+
+    monkeypatch.setattr(bag_minhash, "compared", counted)
+    found = {r.doc_id: r.group_id for r in bag_minhash.near_documents(make(texts)).collect()}
+    assert found == brute_groups(texts)
+    assert rows[0] <= 4 * len(texts)  # of 24 bands with 63 members each

@@ -7,10 +7,10 @@ of two weights show equal points and the least time per register collides with p
 Jaccard similarity. Points come in order of time and a shingle is left as soon as it is later than the latest register,
 so most shingles cost one point.
 
-Equal multisets are one class before banding. In every band bucket one member, chosen by hash, is compared with all
-others; links found so give components. What may still link is narrowed by the triangle inequality (``bucket_links``),
-and only groups that hold several components are compared throughout, in blocks of bounded size that emit their links
-alone. So no bucket emits all its pairs, and no link that banding can find is lost between components. Similarity is
+Equal multisets are one class before banding. In every band bucket the member of least hash is compared with all
+others, so similar buckets choose the same one; links found so give components. What may still link is narrowed by the
+triangle inequality (``bucket_links``): of a group only members that lie about as far from the chosen one as a member
+of another component are compared throughout, in blocks of bounded size that emit their links alone. So no bucket emits all its pairs, and no link that banding can find is lost between components. Similarity is
 verified on the texts' whole multisets.
 
 With 24 bands of 4 registers a pair at similarity 0.8 is missed with probability 3e-6.
@@ -162,13 +162,14 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFra
 
 
 def compared(scratch: Scratch, groups: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
-    """``(a, b)``: all links between members of different components of a group; ``groups`` is (grp, cid, component).
+    """``(a, b)``: all links between members of different components of a group; ``groups`` is (grp, cid, component,
+    n_bytes).
 
     A group is dealt into blocks of bounded rows and bytes, and each pair of blocks is one small task that multiplies
     the members' shingle sets; groups of one block share tasks, as many as their bytes ask for. Rows are dealt by key and
     meet their texts last. Only links are emitted.
     """
-    weight = groups.join(texts.select(F.col("key").alias("cid"), "n_bytes"), "cid").groupBy("grp").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("n_bytes"))
+    weight = groups.groupBy("grp").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("n_bytes"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("n_bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
     blocks = scratch.keep("blocks", weight.select("grp", blocks.alias("_blocks"), "n_bytes"))
     alone = blocks.where("_blocks = 1").agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
@@ -232,18 +233,31 @@ def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return wanted.groupBy("key").agg(F.max("text").alias("text")).withColumn("n_bytes", F.octet_length("text"))
 
 
+def within_reach(placed: DataFrame, near: float) -> DataFrame:
+    """The rows of (grp, component, distance, ..) that may lie within ``near`` of a row of another component.
+
+    Rows whose distances to the group's chosen member differ by more than ``near`` are further apart than that. Distances
+    are told in steps of a quarter of ``near``, one step more than needed on either side.
+    """
+    step = placed.withColumn("_step", F.floor(F.col("distance") * 4 / near).cast("int"))
+    held = step.groupBy("grp", "_step").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    spread = held.select("grp", F.explode(F.sequence(F.col("_step") - 5, F.col("_step") + 5)).alias("_step"), "lo", "hi")
+    mixed = spread.groupBy("grp", "_step").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
+    return step.join(mixed.select("grp", "_step"), ["grp", "_step"], "left_semi").drop("_step", "distance")
+
+
 def bucket_links(scratch: Scratch, docs: DataFrame, members: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """Nodes and links that join all members (bucket, cid) whose texts are similar and share a bucket.
 
     Every bucket's chosen member is compared with the others, and links give components. Distances obey the triangle
     inequality: with 1 - threshold = t, a linked pair is either within 2t and 3t of the chosen member, or both are
     beyond 2t. So what is left to compare is, in groups of several components, all within 3t of a chosen member, and
-    each bucket's members beyond 2t.
+    each bucket's members beyond 2t; and of these only members about as far from the chosen one (``within_reach``).
     """
     near = 1 - threshold
     chosen = (
         members.groupBy("bucket")
-        .agg(F.min(F.struct(F.xxhash64("cid", "bucket").alias("o"), "cid")).alias("one"), F.count("*").alias("_n"))
+        .agg(F.min(F.struct(F.xxhash64("cid").alias("o"), "cid")).alias("one"), F.count("*").alias("_n"))
         .where("_n > 1")
         .select("bucket", F.col("one.cid").alias("a"))
     )
@@ -251,16 +265,18 @@ def bucket_links(scratch: Scratch, docs: DataFrame, members: DataFrame, threshol
     texts = scratch.keep("texts", texts_of(docs, starred.select(F.col("b").alias("key"))))
     tested = scratch.keep("tested", verified(distinct_pairs(starred.where("a <> b")), texts, size))
     links = tested.where(F.col("similarity") >= threshold).select("a", "b")
-    nodes = scratch.keep("nodes", starred.select("b").distinct().select(F.lit(0).alias("g"), F.col("b").alias("cid")))
-    joined = scratch.keep("joined", _components(nodes, links))
+    nodes = scratch.keep("nodes", texts.select(F.lit(0).alias("g"), F.col("key").alias("cid"), "n_bytes"))
+    joined = scratch.keep("joined", _components(nodes, links).join(nodes.drop("g"), "cid"))
     distance = 1 - F.col("similarity")
     near_by = tested.where(distance <= 3 * near + 1e-9)
-    kin = near_by.select(F.col("a").alias("grp"), F.col("b").alias("cid")).unionByName(near_by.select(F.col("a").alias("grp"), F.col("a").alias("cid")).distinct())
-    far = starred.join(tested.where(distance > 2 * near - 1e-9).select("a", "b"), ["a", "b"]).select(F.col("bucket").alias("grp"), F.col("b").alias("cid"))
+    kin = near_by.select(F.col("a").alias("grp"), F.col("b").alias("cid"), distance.alias("distance")).unionByName(
+        near_by.select(F.col("a").alias("grp"), F.col("a").alias("cid"), F.lit(0.0).alias("distance")).distinct()
+    )
+    far = starred.join(tested.where(distance > 2 * near - 1e-9).select("a", "b", distance.alias("distance")), ["a", "b"])
+    far = far.select(F.col("bucket").alias("grp"), F.col("b").alias("cid"), "distance")
     placed = scratch.keep("placed", kin.unionByName(far).join(joined, "cid"))
     scratch.drop("starred", "joined")
-    mixed = placed.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("grp")
-    more = compared(scratch, placed.join(mixed, "grp"), texts, threshold, size)
+    more = compared(scratch, within_reach(placed, near), texts, threshold, size)
     links = scratch.keep("links", links.unionByName(more))
     scratch.drop("texts", "tested", "placed", "blocks")
     return nodes, links
