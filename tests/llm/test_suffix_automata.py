@@ -65,3 +65,21 @@ def test_automaton():
     a.add([3, 4, 6])
     assert a.spans([9, 2, 3, 4, 6, 3, 9, 3, 4, 6], 3) == [(1, 5), (7, 10)]
     assert a.spans([5, 3], 2) == [] and a.spans([1, 2, 3, 4, 5, 3, 4], 5) == [(0, 5)]
+
+
+def test_each_part_meets_one_shard_however_many_there_are(make, monkeypatch):
+    sent, match = [], suffix_automata.match_shards
+
+    def watched(reference, parts, copies, width):
+        sent.append(parts.count())
+        return match(reference, parts, copies, width)
+
+    monkeypatch.setattr(suffix_automata, "match_shards", watched)
+    # one gram that all texts hold, in repeats that few share: its owners lie in many shards
+    line = " ".join(f"licence{k}" for k in range(12))
+    rows = [(i, " ".join([*(f"a{i // 3}x{k}" for k in range(30)), line, *(f"b{i // 3}x{k}" for k in range(30))])) for i in range(60)]
+    wanted = brute.repeated_words(dict(rows))
+    for limit in (1_000_000, 20):
+        monkeypatch.setattr(suffix_automata, "SHARD_WORDS", limit)
+        same(suffix_automata.remove_passages(make(rows)).collect(), wanted)
+    assert sent[1] <= 4 * sent[0], sent

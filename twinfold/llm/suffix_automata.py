@@ -9,7 +9,8 @@ shard are streamed through it for matching statistics. Maximal spans at or above
 never judged on what is left of the text.
 
 A shard that many documents meet is copied to as many tasks as the words of their parts ask for, counted over all
-blocks that meet the shard, so a passage that a third of all documents hold is no hot task. Only documents' parts with anchors of a shard travel. Hashes find candidates; the automaton
+blocks that meet the shard, so a passage that a third of all documents hold is no hot task. A block of windows goes to the shard of the owner of the same windows, so
+each window of a document travels to one shard, however many shards there are. Hashes find candidates; the automaton
 compares the words themselves.
 
 Rows: null text counts as empty; repeated rows are texts of their own and so remove each other from 35 words on; shorter
@@ -178,28 +179,38 @@ def shard_of(shards: int) -> Column:
     return F.pmod(F.xxhash64("doc", F.floor(at_of(F.col("spot")) / SHARD_WORDS)), F.lit(shards))
 
 
-def task_counts(blocks: DataFrame, routes: DataFrame, width: int) -> DataFrame:
-    """``(shard, n)``: the tasks that the words of all blocks that meet a shard ask for; ``routes`` is (core, shard)."""
+def task_counts(asked: DataFrame, width: int) -> DataFrame:
+    """``(shard, n)``: the tasks that the words of all blocks that meet a shard ask for; ``asked`` is (spot, shard)."""
     words = high_of(F.col("spot")) - low_of(F.col("spot")) + width
-    asked = blocks.groupBy("core").agg(F.sum(words).alias("w")).join(routes, "core")
-    return asked.groupBy("shard").agg((1 + F.floor(F.sum("w") / TASK_WORDS)).cast("int").alias("n"))
+    return asked.groupBy("shard").agg((1 + F.floor(F.sum(words) / TASK_WORDS)).cast("int").alias("n"))
+
+
+def routed(blocks: DataFrame, owners: DataFrame) -> DataFrame:
+    """``(doc, spot, shard)`` of every block whose union has an owner: the owner's shard, so one only.
+
+    A core can have owners in every shard; a union has one, however many shards there are.
+    """
+    own = owners.select(F.col("core").alias("_core"), F.col("union").alias("_union"), "shard")
+    salted = own.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a union may have any number of occurrences
+    same = (F.col("core") == F.col("_core")) & (F.col("union") == F.col("_union"))
+    salt = F.pmod(F.col("doc"), F.lit(SALTS)) == F.col("_salt")
+    return blocks.where(~F.col("stands")).join(salted, same & salt).select("doc", "spot", "shard")
 
 
 def repeated_spans(texts: DataFrame, dealt: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """``(doc, ranges)`` of the words to remove; ``dealt`` are the same texts, shuffled by ``doc``."""
     blocks = cut_lineage(in_company(first_level(texts, width, gram, _sequences)))
     held = cut_lineage(judged(buckets(blocks)))
-    single = buckets(next_level(dealt, open_blocks(held, width - gram + 1), width, 1, _sequences))
+    fine = cut_lineage(next_level(dealt, open_blocks(held, width - gram + 1), width, 1, _sequences))
     sizes = held.agg(F.sum(high_of(F.col("spot")) - low_of(F.col("spot")) + 1)).first()[0] or 0
     shards = 1 + int(sizes) // SHARD_WORDS
-    owners = held.where("n > 1").select("doc", "spot", "core").unionByName(single.where("n > 1").select("doc", "spot", "core"))
-    owners = cut_lineage(owners.withColumn("shard", shard_of(shards)))
-    routes = owners.select("core", "shard").distinct()
-    salted = routes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    asked = blocks.select("doc", "spot", "core").withColumn("_salt", F.pmod("doc", F.lit(SALTS)).cast("int")).join(salted, ["core", "_salt"])
-    copies = cut_lineage(task_counts(blocks, routes, width))
-    reference = parts_of(dealt, _ranges(owners, width))
-    spans = match_shards(reference, parts_of(dealt, _ranges(asked, width)), copies, width)
+    coarse, single = (
+        b.where("n > 1").select("doc", "spot", "core", "union").withColumn("shard", shard_of(shards)) for b in (held, buckets(fine))
+    )
+    single = cut_lineage(single)
+    asked = cut_lineage(routed(blocks, coarse).unionByName(routed(fine, single)))
+    reference = parts_of(dealt, _ranges(coarse.unionByName(single), width))
+    spans = match_shards(reference, parts_of(dealt, _ranges(asked, width)), cut_lineage(task_counts(asked, width)), width)
     return spans.groupBy("doc").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
 
 
