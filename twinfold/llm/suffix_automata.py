@@ -30,9 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinfold.llm.anchors import SALTS, at_of, buckets, high_of, in_company, judged, low_of, merged, open_blocks
-from twinfold.llm.common import Rolling, batch_words, flat, pieces, word_bounds
+from twinfold.llm.common import Rolling, Scratch, batch_words, flat, pieces, word_bounds
 from twinfold.llm.suffix_buckets import first_level, keyed, next_level, range_arrays, with_ranges
-from twinfold.session import cut_lineage
 
 WIDTH = 35
 GRAM = 10
@@ -199,18 +198,22 @@ def routed(blocks: DataFrame, owners: DataFrame) -> DataFrame:
 
 def repeated_spans(texts: DataFrame, dealt: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """``(doc, ranges)`` of the words to remove; ``dealt`` are the same texts, shuffled by ``doc``."""
-    blocks = cut_lineage(in_company(first_level(texts, width, gram, _sequences)))
-    held = cut_lineage(judged(buckets(blocks)))
-    fine = cut_lineage(next_level(dealt, open_blocks(held, width - gram + 1), width, 1, _sequences))
+    scratch = Scratch(texts.sparkSession)
+    blocks = scratch.keep("blocks", in_company(first_level(texts, width, gram, _sequences)))
+    held = scratch.keep("held", judged(buckets(blocks)))
+    fine = scratch.keep("fine", next_level(dealt, open_blocks(held, width - gram + 1), width, 1, _sequences))
     sizes = held.agg(F.sum(high_of(F.col("spot")) - low_of(F.col("spot")) + 1)).first()[0] or 0
     shards = 1 + int(sizes) // SHARD_WORDS
     coarse, single = (
-        b.where("n > 1").select("doc", "spot", "core", "union").withColumn("shard", shard_of(shards)) for b in (held, buckets(fine))
+        scratch.keep(name, b.where("n > 1").select("doc", "spot", "core", "union").withColumn("shard", shard_of(shards)))
+        for name, b in (("coarse", held), ("single", buckets(fine)))
     )
-    single = cut_lineage(single)
-    asked = cut_lineage(routed(blocks, coarse).unionByName(routed(fine, single)))
+    scratch.drop("held")
+    asked = scratch.keep("asked", routed(blocks, coarse).unionByName(routed(fine, single)))
+    scratch.drop("blocks", "fine")
+    copies = scratch.keep("copies", task_counts(asked, width))
     reference = parts_of(dealt, _ranges(coarse.unionByName(single), width))
-    spans = match_shards(reference, parts_of(dealt, _ranges(asked, width)), cut_lineage(task_counts(asked, width)), width)
+    spans = match_shards(reference, parts_of(dealt, _ranges(asked, width)), copies, width)
     return spans.groupBy("doc").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
 
 
