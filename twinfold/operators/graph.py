@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 from twinfold.session import cut_lineage
 
 
-def cyclic_edges(edges: DataFrame, group: str, src: str = "src", dst: str = "dst") -> DataFrame:
+def cyclic_edges(edges: DataFrame, group: str, src: str = "src", dst: str = "dst", distinct: bool = False) -> DataFrame:
     """Edges that survive peeling; a group has a cycle iff any of them stays.
 
     Each round drops edges out of sources and into sinks, then lets every edge
     into a node with one way out skip that node. A chain of n nodes is gone after
     about log2(n) rounds. When a round drops nothing, every node left has a way
-    in and a way out, which needs a cycle. Copies of an edge count once.
+    in and a way out, which needs a cycle. Copies of an edge count once; ``distinct``
+    edges without copies, already written, are read as they are.
     """
-    rest = cut_lineage(edges.select(group, src, dst).distinct())
+    rest = edges.select(group, src, dst) if distinct else cut_lineage(edges.select(group, src, dst).distinct())
     left = rest.count()
     while left:
         heads = rest.select(group, F.col(dst).alias(src)).distinct()
@@ -43,8 +44,8 @@ def cyclic_edges(edges: DataFrame, group: str, src: str = "src", dst: str = "dst
     return rest
 
 
-def cycle_groups(edges: DataFrame, group: str, src: str = "src", dst: str = "dst") -> DataFrame:
-    return cyclic_edges(edges, group, src, dst).select(group).distinct()
+def cycle_groups(edges: DataFrame, group: str, src: str = "src", dst: str = "dst", distinct: bool = False) -> DataFrame:
+    return cyclic_edges(edges, group, src, dst, distinct).select(group).distinct()
 
 
 def branching_groups(edges: DataFrame, group: str, src: str = "src", dst: str = "dst") -> DataFrame:

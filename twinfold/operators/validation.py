@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from twinfold.functions import text as tx
 from twinfold.operators import graph
 from twinfold.operators.predicates import UNREADABLE, box_inside
+from twinfold.session import cut_lineage
 
 # ---- fixed values ----------------------------------------------------------
 MAX_HEADER_REFS = 40_000
@@ -106,23 +107,18 @@ def cell_rules(cells: DataFrame, tables: DataFrame) -> DataFrame:
     )
 
 
-def header_links(cells: DataFrame) -> DataFrame:
-    """Header references that target an existing header cell, as edges header → cell."""
-    refs = cells.select("table_id", "cell_id", F.explode("header_ids").alias("header_id")).distinct()
-    heads = cells.where("role = 'header'").select("table_id", F.col("cell_id").alias("header_id")).distinct()
-    return refs.where("cell_id <> header_id").join(heads, ["table_id", "header_id"])
-
-
 def header_cycles(cells: DataFrame) -> DataFrame:
-    """Invalid header targets and tables whose header references form a cycle."""
+    """Invalid header targets and tables whose header references form a cycle.
+
+    References meet the header cells once; what is found is written for the count and for the search for cycles.
+    """
     refs = cells.select("table_id", "cell_id", F.explode("header_ids").alias("header_id")).distinct()
-    links = header_links(cells)
-    invalid = refs.join(links, ["table_id", "cell_id", "header_id"], "left_anti").groupBy("table_id").agg(
-        F.count("*").alias("invalid_targets")
-    )
-    cyclic = graph.cycle_groups(
-        links.select("table_id", F.col("header_id").alias("src"), F.col("cell_id").alias("dst")), "table_id"
-    ).withColumn("cyclic", F.lit(True))
+    heads = cells.where("role = 'header'").select("table_id", F.col("cell_id").alias("header_id")).distinct()
+    valid = F.coalesce(F.col("_head") & (F.col("cell_id") != F.col("header_id")), F.lit(False))
+    judged = refs.join(heads.withColumn("_head", F.lit(True)), ["table_id", "header_id"], "left").withColumn("_valid", valid)
+    judged = cut_lineage(judged.select("table_id", F.col("header_id").alias("src"), F.col("cell_id").alias("dst"), "_valid"))
+    invalid = judged.where("not _valid").groupBy("table_id").agg(F.count("*").alias("invalid_targets"))
+    cyclic = graph.cycle_groups(judged.where("_valid").drop("_valid"), "table_id", distinct=True).withColumn("cyclic", F.lit(True))
     return invalid.join(cyclic, "table_id", "full_outer").select(
         "table_id",
         F.coalesce("invalid_targets", F.lit(0).cast("bigint")).alias("invalid_targets"),
