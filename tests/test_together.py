@@ -27,3 +27,9 @@ def test_pages_of_line_items_stay_together(spark):
 
 def test_reading_in_one_column_deals_no_fragments(spark):
     assert exchanges(entry.queries()["reading_order_single"](spark, SF)) == 0
+
+
+def test_page_texts_deal_documents_and_no_words(spark):
+    plan = entry.queries()["page_text"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "REPARTITION_BY_NUM" not in line] == []
+    assert "Join" not in plan
