@@ -1,6 +1,9 @@
 """Fragments of pages that come from one order or one document are dealt once, however often they are grouped."""
 
+import pytest
+
 import __spark_entry__ as entry
+from twinfold.operators import flows
 from twinfold.plans import tables
 from twinfold.session import cut_lineage, together
 
@@ -33,3 +36,17 @@ def test_page_texts_deal_documents_and_no_words(spark):
     plan = entry.queries()["page_text"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "REPARTITION_BY_NUM" not in line] == []
     assert "Join" not in plan
+
+
+@pytest.mark.parametrize("name", ["reading_order_two", "fragment_coverage"])
+def test_reading_in_two_columns_deals_no_fragments(spark, monkeypatch, name):
+    seen, read = [], flows.read_pages
+
+    def watched(*args):
+        lines = read(*args)
+        seen.append([x for x in lines._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x])
+        return lines
+
+    monkeypatch.setattr(flows, "read_pages", watched)
+    assert entry.queries()[name](spark, SF).count() > 0
+    assert seen == [[]]
